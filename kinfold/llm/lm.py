@@ -30,8 +30,9 @@ from .common import batches, id_fraction, id_remainder, materialize, words
 
 HEAD_WORDS, ENDINGS, COARSE, DIM = 2047, 256, 16, 24
 #: Words whose counts are broadcast; tokens of the first fit at most; noise words of a minibatch.
-LOOKUP, FIRST_TOKENS, NOISE = 1 << 17, 400_000, 48
-BATCH, RATE = 8192, 0.1
+#: AdaGrad: tokens of a minibatch, rate, and the sum of squares it starts from.
+LOOKUP, FIRST_TOKENS, NOISE = 1 << 17, 400_000, 128
+BATCH, RATE, STATE = 2048, 0.1, 1.0
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 #: Distinct words a task counts before it passes them on; parts the parameters are averaged in.
 COUNTED, BLOCKS, SALTS = 400_000, 8, 32
@@ -161,7 +162,7 @@ def ascend(params: list[np.ndarray], batches_: Iterator[tuple], unigram: np.ndar
     rng = np.random.default_rng(seed)
     p = (unigram + 0.5) / (unigram + 0.5).sum()
     cdf, log_kp = np.cumsum(p), np.log(NOISE * p).astype(np.float32)
-    states, seen = [np.full(len(x), 1.0, np.float32) for x in params], 0
+    states, seen = [np.full(len(x), STATE, np.float32) for x in params], 0
     for before, cls, out in batches_:
         noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), _OUT - 1)
         q, pos, neg = r[before] + c[cls], t[out], t[noise]
@@ -210,7 +211,7 @@ def fit(training: DataFrame, v: Lookup, seed: str = "lm") -> list[np.ndarray]:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         look, first = got.value
         own, pid = [p.copy() for p in first], TaskContext.get().partitionId()
-        n = ascend(own, minibatches((t for b in frames for t in b["text"]), look), look.unigram, 1000 + pid, RATE / 4)
+        n = ascend(own, minibatches((t for b in frames for t in b["text"]), look), look.unigram, 1000 + pid, RATE / 2)
         if n:
             x = np.concatenate([p.ravel() for p in own])
             yield pd.DataFrame({"block": range(BLOCKS), "salt": pid % SALTS, "n": n, "x": [x[i * per : (i + 1) * per].tobytes() for i in range(BLOCKS)]})
