@@ -10,12 +10,15 @@ between such spaces are encoded once and remembered; other texts are encoded who
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,47 +29,89 @@ from .wavelet import Shard, encode
 
 END = 0
 SHARD = 1 << 22
-#: Pieces remembered by a worker, some 100 bytes each.
-REMEMBERED = 400_000
-
-#: White space, and what some Unicode versions count as such: there a text is encoded whole.
+#: Pieces and pre-tokens that a worker remembers of each, some 150 bytes each.
+REMEMBERED = 500_000
+#: White space, and what some Unicode versions count as such: around a space, a text is encoded whole.
 _SPACE = r"[\s\u180e\u200b\ufeff]"
+_AROUND = re.compile(rf"{_SPACE} (?:{_SPACE}|\Z)")
+_ASCII_SPACES = [c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+# Fixed value: how byte-level BPE of this kind cuts a text into pre-tokens.
+_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable characters that byte-level BPE writes bytes as: a byte's own if it has one, else the next above 255."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
 class Encoder:
-    """encode(text) gives what tokenizer.encode(text, add_special_tokens=False) gives, as bytes of uint32."""
+    """encode(text) gives what tokenizer.encode(text, add_special_tokens=False) gives, as an array.
+
+    Every new pre-token goes through the library's model once; texts that other rules apply to (added
+    tokens, other pre-tokenizers) go through the library's encode() as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        pre = self.tokenizer.pre_tokenizer
-        self.by_piece = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
-        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # White space around a space, where the split depends on more than its neighbours; and added tokens.
-        self.whole = re.compile("|".join([rf"{_SPACE} (?:{_SPACE}|\Z)", *marks]))
+        self.model, pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        spec = json.loads(self.tokenizer.to_str())
+        p = spec.get("pre_tokenizer") or {}
+        self.by_piece = type(pre).__name__ == "ByteLevel" and not p.get("add_prefix_space") and p.get("use_regex", True) and self.tokenizer.normalizer is None
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.code = "H" if self.kind == np.uint16 else "I"
+        self.letters = _byte_letters()
+        # Pieces without their leading space, and pre-tokens with it.
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.pre: dict[str, bytes] = {}
+
+    def _of_pre(self, t: str) -> bytes:
+        """Ids of one pre-token."""
+        if (got := self.pre.get(t)) is None:
+            # Printable ASCII stands for itself, but for the space.
+            spelt = t.replace(" ", self.letters[32]) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(self.letters)
+            got = array(self.code, [x.id for x in self.model.tokenize(spelt)]).tobytes()
+            if len(self.pre) < REMEMBERED:
+                self.pre[t] = got
+        return got
+
+    def _of_piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self._of_pre(" " + piece)
+        return b"".join(map(self._of_pre, _PRE.findall(" " + piece)))
+
+    def _as_a_whole(self, text: str) -> bool:
+        """White space around a space, where the cut depends on more than the neighbours; or an added token."""
+        if any(m in text for m in self.marks):
+            return True
+        return _AROUND.search(text) is not None if not text.isascii() or any(s in text for s in _ASCII_SPACES) else False
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.kind)
-        if not self.by_piece or self.whole.search(text):
+        if not self.by_piece or self._as_a_whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         first, *rest = text.split(" ")
-        got = list(map(self.known.get, rest))
+        known = self.known
+        got = list(map(known.get, rest))
         if None in got:
-            new = list({p for p, g in zip(rest, got) if g is None})
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            fresh = dict(zip(new, self._ids([" " + p for p in new])))
-            self.known.update(fresh)
-            got = [fresh[p] if g is None else g for p, g in zip(rest, got)]
-        head = self._ids([first]) if first else []
-        return np.frombuffer(b"".join(head + got), self.kind)
+            misses = 0
+            for i, g in enumerate(got):
+                if g is None:
+                    misses += 1
+                    got[i] = g = self._of_piece(rest[i])
+                    if len(known) < REMEMBERED:
+                        known[rest[i]] = g
+            if len(known) >= REMEMBERED and 2 * misses > len(rest) > 200:
+                # Another kind of text has begun: start afresh.
+                known.clear()
+                self.pre.clear()
+        head = b"".join(map(self._of_pre, _PRE.findall(first))) if first else b""
+        return np.frombuffer(head + b"".join(got), self.kind)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -32,9 +32,11 @@ def build(ids: np.ndarray) -> tuple[int, list[int], list[bytes]]:
     for level in range(bits - 1, -1, -1):
         one = (ids & ids.dtype.type(1 << level)).astype(bool)
         planes.append(_pack(one))
-        low, high = ids[~one], ids[one]
-        zeros.append(len(low))
-        ids = np.concatenate((low, high))
+        zeros.append(len(ids) - int(np.count_nonzero(one)))
+        split = np.empty_like(ids)
+        np.compress(~one, ids, out=split[: zeros[-1]])
+        np.compress(one, ids, out=split[zeros[-1] :])
+        ids = split
     return bits, zeros, planes
 
 
@@ -161,8 +163,8 @@ class Shard:
         for level in range(self.bits - 1, -1, -1):
             one = self.plane(level)
             b = np.empty_like(a)
-            b[~one] = a[: self.zeros[level]]
-            b[one] = a[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            b[np.flatnonzero(~one)] = a[: self.zeros[level]]
+            b[np.flatnonzero(one)] = a[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             a = b
         return a
 
