@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,14 @@ from .common import batches, materialize, scratch
 from .wavelet import Shard, encode
 
 END = 0
-SHARD = 1 << 22
-#: Pieces and pre-tokens that a worker remembers of each, some 150 bytes each.
-REMEMBERED = 500_000
-#: White space, and what some Unicode versions count as such: around a space, a text is encoded whole.
-_SPACE = r"[\s\u180e\u200b\ufeff]"
-_AROUND = re.compile(rf"{_SPACE} (?:{_SPACE}|\Z)")
-_ASCII_SPACES = [c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+_ID = attrgetter("id")
+SHARD = 1 << 21
+#: Pieces that a worker remembers, some 200 bytes each; misses in a row of lookups that make it start afresh.
+REMEMBERED, LOOKUPS = 700_000, 1 << 20
+#: White space other than the space, and what some Unicode versions count as such.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ") + "\u180e\u200b\ufeff"
+_ASCII_SPACES = "".join(c for c in _SPACES if c.isascii())
+_AROUND = re.compile(rf"[ {_SPACES}] (?:[ {_SPACES}]|\Z)")
 # Fixed value: how byte-level BPE of this kind cuts a text into pre-tokens.
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -46,6 +48,43 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
+class Pieces(dict):
+    """piece -> bytes of its ids, for pieces that a space stands before; a new piece is encoded when asked for."""
+
+    def __init__(self, model, kind: np.dtype):
+        super().__init__()
+        self.tokenize, self.code, self.letters = model.tokenize, "H" if kind == np.uint16 else "I", _byte_letters()
+        self.others: dict[str, bytes] = {}
+        self.misses = 0
+
+    def _model(self, t: str) -> bytes:
+        # Printable ASCII stands for itself, but for the space.
+        spelt = t.replace(" ", self.letters[32]) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, map(_ID, self.tokenize(spelt))).tobytes()
+
+    def pre_token(self, t: str) -> bytes:
+        """Ids of one pre-token: with a space and letters it is a piece of its own."""
+        if t[0] == " " and t[1:].isalpha():
+            return self[t[1:]]
+        if (got := self.others.get(t)) is None:
+            got = self._model(t)
+            if len(self.others) < REMEMBERED // 4:
+                self.others[t] = got
+        return got
+
+    def __missing__(self, piece: str) -> bytes:
+        self.misses += 1
+        if piece.isalpha() and piece.isascii():
+            got = array(self.code, map(_ID, self.tokenize(self.letters[32] + piece))).tobytes()
+        elif piece.isalpha():
+            got = self._model(" " + piece)
+        else:
+            got = b"".join(map(self.pre_token, _PRE.findall(" " + piece)))
+        if len(self) < REMEMBERED:
+            self[piece] = got
+        return got
+
+
 class Encoder:
     """encode(text) gives what tokenizer.encode(text, add_special_tokens=False) gives, as an array.
 
@@ -57,38 +96,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
-        spec = json.loads(self.tokenizer.to_str())
-        p = spec.get("pre_tokenizer") or {}
-        self.by_piece = type(pre).__name__ == "ByteLevel" and not p.get("add_prefix_space") and p.get("use_regex", True) and self.tokenizer.normalizer is None
+        p = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        self.by_piece = p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and p.get("use_regex", True) and self.tokenizer.normalizer is None
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.code = "H" if self.kind == np.uint16 else "I"
-        self.letters = _byte_letters()
-        # Pieces without their leading space, and pre-tokens with it.
-        self.known: dict[str, bytes] = {}
-        self.pre: dict[str, bytes] = {}
-
-    def _of_pre(self, t: str) -> bytes:
-        """Ids of one pre-token."""
-        if (got := self.pre.get(t)) is None:
-            # Printable ASCII stands for itself, but for the space.
-            spelt = t.replace(" ", self.letters[32]) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(self.letters)
-            got = array(self.code, [x.id for x in self.model.tokenize(spelt)]).tobytes()
-            if len(self.pre) < REMEMBERED:
-                self.pre[t] = got
-        return got
-
-    def _of_piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self._of_pre(" " + piece)
-        return b"".join(map(self._of_pre, _PRE.findall(" " + piece)))
+        self.known = Pieces(self.tokenizer.model, self.kind)
+        self.lookups = 0
 
     def _as_a_whole(self, text: str) -> bool:
         """White space around a space, where the cut depends on more than the neighbours; or an added token."""
         if any(m in text for m in self.marks):
             return True
-        return _AROUND.search(text) is not None if not text.isascii() or any(s in text for s in _ASCII_SPACES) else False
+        # Searches for one character are far cheaper than the pattern, and mostly all that is needed.
+        near = "  " in text or any(c in text and c + " " in text for c in (_ASCII_SPACES if text.isascii() else _SPACES))
+        return near and _AROUND.search(text) is not None
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -97,21 +118,15 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         first, *rest = text.split(" ")
         known = self.known
-        got = list(map(known.get, rest))
-        if None in got:
-            misses = 0
-            for i, g in enumerate(got):
-                if g is None:
-                    misses += 1
-                    got[i] = g = self._of_piece(rest[i])
-                    if len(known) < REMEMBERED:
-                        known[rest[i]] = g
-            if len(known) >= REMEMBERED and 2 * misses > len(rest) > 200:
-                # Another kind of text has begun: start afresh.
+        head = b"".join(map(known.pre_token, _PRE.findall(first))) if first else b""
+        ids = np.frombuffer(head + b"".join(map(known.__getitem__, rest)), self.kind)
+        self.lookups += len(rest)
+        if self.lookups > LOOKUPS:
+            if 2 * known.misses > self.lookups:  # another kind of text has begun
                 known.clear()
-                self.pre.clear()
-        head = b"".join(map(self._of_pre, _PRE.findall(first))) if first else b""
-        return np.frombuffer(head + b"".join(got), self.kind)
+                known.others.clear()
+            self.lookups = known.misses = 0
+        return ids
 
 
 _encoders: dict[str, Encoder] = {}
