@@ -33,10 +33,13 @@ _ID = attrgetter("id")
 SHARD = 1 << 21
 #: Pieces that a worker remembers, some 200 bytes each; misses in a row of lookups that make it start afresh.
 REMEMBERED, LOOKUPS = 700_000, 1 << 20
-#: White space other than the space, and what some Unicode versions count as such.
-_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ") + "\u180e\u200b\ufeff"
+#: White space other than space and line end, and what some Unicode versions count as such.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\u180e\u200b\ufeff"
 _ASCII_SPACES = "".join(c for c in _SPACES if c.isascii())
-_AROUND = re.compile(rf"[ {_SPACES}] (?:[ {_SPACES}]|\Z)")
+_AROUND = re.compile(rf"[ \n{_SPACES}] (?:[ \n{_SPACES}]|\Z)")
+#: Stands for a line end at the start of a piece.
+NEWLINE = "\x00"
+_STOPS = (",", ".")
 # Fixed value: how byte-level BPE of this kind cuts a text into pre-tokens.
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -78,6 +81,10 @@ class Pieces(dict):
             got = array(self.code, map(_ID, self.tokenize(self.letters[32] + piece))).tobytes()
         elif piece.isalpha():
             got = self._model(" " + piece)
+        elif piece[-1:] in _STOPS and piece[:-1].isalpha():
+            got = self[piece[:-1]] + self.pre_token(piece[-1])
+        elif piece[:1] == NEWLINE:
+            got = self.pre_token("\n") + b"".join(map(self.pre_token, _PRE.findall(piece[1:])))
         else:
             got = b"".join(map(self.pre_token, _PRE.findall(" " + piece)))
         if len(self) < REMEMBERED:
@@ -103,20 +110,28 @@ class Encoder:
         self.known = Pieces(self.tokenizer.model, self.kind)
         self.lookups = 0
 
-    def _as_a_whole(self, text: str) -> bool:
-        """White space around a space, where the cut depends on more than the neighbours; or an added token."""
-        if any(m in text for m in self.marks):
-            return True
-        # Searches for one character are far cheaper than the pattern, and mostly all that is needed.
-        near = "  " in text or any(c in text and c + " " in text for c in (_ASCII_SPACES if text.isascii() else _SPACES))
-        return near and _AROUND.search(text) is not None
+    def _pieces(self, text: str) -> list[str] | None:
+        """The text cut before its spaces, and before its line ends too where those stand alone (then NEWLINE
+        stands for them); None if it must be encoded as a whole: a space with white space on either side,
+        where the cut depends on more than the neighbours, an added token, or the character that NEWLINE is."""
+        if NEWLINE in text or any(m in text for m in self.marks):
+            return None
+        # Searches for one or two characters are far cheaper than a pattern, and mostly all that is needed.
+        odd = [c for c in (_ASCII_SPACES if text.isascii() else _SPACES) if c in text]
+        breaks = "\n" in text
+        if ("  " in text or breaks and "\n " in text or any(c + " " in text for c in odd)) and _AROUND.search(text):
+            return None
+        if breaks and not odd and "\n\n" not in text and " \n" not in text and "\n " not in text:
+            text = text.replace("\n", " " + NEWLINE)
+        return text.split(" ")
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.kind)
-        if not self.by_piece or self._as_a_whole(text):
+        pieces = self._pieces(text) if self.by_piece else None
+        if pieces is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        first, *rest = text.split(" ")
+        first, *rest = pieces
         known = self.known
         head = b"".join(map(known.pre_token, _PRE.findall(first))) if first else b""
         ids = np.frombuffer(head + b"".join(map(known.__getitem__, rest)), self.kind)
