@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 #: Rows and bytes of one Arrow batch; texts can be long, so rows alone do not bound a batch.
 BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 
+ROWS_A_FILE = 500_000
+
 _own: dict[str, str] = {}
 
 
@@ -36,11 +38,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends at files that outlive executors."""
-    path = scratch(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends at files that outlive executors.
+
+    rows: about how many are written at most; they go to as few files as ROWS_A_FILE allows, dealt in turn,
+    where there would be more otherwise. Many tiny files cost more than the small shuffle.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    if rows is not None and (k := 1 + rows // ROWS_A_FILE) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(k)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 

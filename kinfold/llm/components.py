@@ -27,17 +27,18 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """edges(a, b) of long ids -> (id, component_id): for every id that is not the smallest of its
     component, that smallest id. Loops, repeated edges and nulls add nothing; no edges give no rows.
+    rows: about how many edges there are, for the number of files.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    now = materialize(e.distinct(), "edges")
+    now = materialize(e.distinct(), "edges", rows)
     before = _signature(now)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        nxt = materialize(_stars(now), "stars")
+        nxt = materialize(_stars(now), "stars", before[0])
         drop(now)
         now, after = nxt, _signature(nxt)
         if after == before:

@@ -187,7 +187,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     good = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).withColumn("vkey", F.when(good & F.col("vec_id").isNotNull(), F.md5(e.cast("string"))))
     groups = rows.where("vkey is not null").groupBy("vkey").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
-    groups = materialize(groups, "vectors")
+    groups = materialize(groups, "vectors", vectors.count())
     picked = groups.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toPandas()["embedding"].to_list()
     sizes = [len(v) for v in picked]
     dim = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
@@ -196,18 +196,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         return vectors.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     x = np.array([v for v in picked if len(v) == dim], np.float64)
     x /= np.abs(x).max(1, keepdims=True)
-    index = spark.sparkContext.broadcast(fit(x, groups.count(), threshold, recall))
+    n = groups.count()
+    index = spark.sparkContext.broadcast(fit(x, n, threshold, recall))
     found = materialize(groups.select("rep", "mult", "embedding").mapInPandas(_probe(index), "cell long, visitor boolean, rep long, mult long, unit binary"), "visits")
     sizes = found.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("n_h"), F.count_if("visitor").alias("n_v"))
-    crowded = materialize(sizes.where((F.col("n_h") > 0) & (F.greatest("n_h", "n_v") > BLOCK)).select("cell", F.ceil(F.col("n_h") / BLOCK).cast("int").alias("n_hb"), F.ceil(F.col("n_v") / BLOCK).cast("int").alias("n_vb")), "crowded")
+    crowded = materialize(sizes.where((F.col("n_h") > 0) & (F.greatest("n_h", "n_v") > BLOCK)).select("cell", F.ceil(F.col("n_h") / BLOCK).cast("int").alias("n_hb"), F.ceil(F.col("n_v") / BLOCK).cast("int").alias("n_vb")), "crowded", 0)
     r = found.join(crowded, "cell", "left").fillna(1, ["n_hb", "n_vb"])
     r = r.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("visitor"), F.col("n_vb")).otherwise(F.col("n_hb"))).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("n_hb")).otherwise(F.col("n_vb")) - 1)))
     r = r.select("cell", F.when(F.col("visitor"), F.col("other")).otherwise(F.col("own")).alias("hb"), F.when(F.col("visitor"), F.col("own")).otherwise(F.col("other")).alias("vb"), "visitor", "rep", "mult", "unit")
     keys = ["cell", "hb", "vb"]
-    met = materialize(r.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInPandas(_verify(threshold), "rep long, n long, to long"), "met")
+    met = materialize(r.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInPandas(_verify(threshold), "rep long, n long, to long"), "met", 2 * n)
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
-    moved = connected_components(met.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    moved = connected_components(met.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), n)
     info = groups.select("vkey", "rep", "mult").join(counts, "rep", "left").join(moved, F.col("rep") == F.col("id"), "left")
     info = info.select("vkey", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")).where("n_links > 0")
     out = rows.select("vec_id", "vkey").join(info, "vkey", "left")

@@ -79,7 +79,7 @@ def _decided(docs: DataFrame, keep: dict[str, str], weights, share: float, cap:
     # The number counts rows within a partition from 0 and holds the partition above bit 33.
     placed = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "placed")
     counts = placed.groupBy("__source", F.shiftright("__at", 33).alias("part")).agg(F.count("*").alias("n"), F.min("__at").alias("first"), F.sum("__size").alias("size"))
-    counts = materialize(counts, "counts")  # at most a row for each partition and each source
+    counts = materialize(counts, "counts", 0)  # at most a row for each partition and each source
     total = targets(counts.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, cap)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -175,7 +175,7 @@ def links(groups: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     visits = groups.select("fp", "rep", F.explode(F.array_compact(F.array(*visit))).alias("c")).select("fp", "rep", "c.g", "c.cell")
     rows = homes.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True)))
     sizes = rows.groupBy("g", "cell").agg(F.count_if(~F.col("visitor")).alias("n_h"), F.count_if("visitor").alias("n_v"))
-    crowded = materialize(sizes.where((F.col("n_h") > 0) & (F.greatest("n_h", "n_v") > BLOCK)).select("g", "cell", F.ceil(F.col("n_h") / BLOCK).cast("int").alias("n_hb"), F.ceil(F.col("n_v") / BLOCK).cast("int").alias("n_vb")), "crowded")
+    crowded = materialize(sizes.where((F.col("n_h") > 0) & (F.greatest("n_h", "n_v") > BLOCK)).select("g", "cell", F.ceil(F.col("n_h") / BLOCK).cast("int").alias("n_hb"), F.ceil(F.col("n_v") / BLOCK).cast("int").alias("n_vb")), "crowded", 0)
     # A cell without visitors but its own residents still holds pairs, as residents visit their own cell.
     r = rows.join(crowded, ["g", "cell"], "left").fillna(1, ["n_hb", "n_vb"])
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("visitor"), F.col("n_vb")).otherwise(F.col("n_hb"))).cast("int")
@@ -194,8 +194,9 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, size: int = S
     doc_id each get a row. Other columns are ignored. No rows give no rows.
     """
     prints = materialize(fingerprints(docs, size, seed), "prints")
-    groups = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "groups")
-    moved = connected_components(links(groups.select("fp", "rep"), distance))
+    groups = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    groups = materialize(groups, "groups", prints.count())
+    moved = connected_components(links(groups.select("fp", "rep"), distance), groups.count())
     # Only fingerprints whose documents are not all their own component need a lookup.
     lookup = groups.join(moved, groups.rep == moved.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n", "rep").where("n > 1 or component_id != rep").select("fp", "component_id")
     out = prints.join(lookup, "fp", "left")

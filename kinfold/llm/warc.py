@@ -5,9 +5,10 @@ pages with the same payload the one with the smallest page_id carries it; the ot
 records by identical payload digest, with the HTTP header of the full payload.
 
 Reading: each archive is cut into byte ranges; a task scans its range for the gzip magic number and
-owns the records that start inside. A candidate counts only if its header decodes as WARC and its
-member ends where another such member starts, or the file ends; so bytes that look like a member
-inside a payload are passed over.
+owns the records that start inside. A candidate counts only if its header decodes as WARC and members
+follow one another from it for over 64 KiB, or to the end of the file. Bytes that look like members
+inside a payload are passed over: they can lie open in a stored block of the outer member only, and
+such a block holds less.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import batches, delete, materialize, scratch
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range; read at once; of a member's start that its WARC header must begin in.
 SPLIT, READ, PEEK = 32 << 20, 1 << 20, 16
+#: The most bytes a stored block of DEFLATE holds.
+STORED = 65_535
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 _URN = "urn:kinfold:page:"
@@ -74,7 +77,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     hashes = p.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("n"))
     # Only payloads that more than one page has need a lookup; the aggregate is combined before its shuffle.
-    first = materialize(hashes.where(F.col("n") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("sha", "first"), "payloads")
+    first = materialize(hashes.where(F.col("n") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("sha", "first"), "payloads", pages.count())
     rows = p.withColumn("sha", F.sha1("payload")).join(first, "sha", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.length("payload") >= least), F.col("first"))
     rows = rows.select("page_id", "url", "payload", refers.alias("refers_to"))
@@ -157,17 +160,33 @@ class Reader:
                 pos += k + 1
         return None
 
+    def chain(self, pos: int) -> tuple[list[bytes], int] | None:
+        """Members from pos on, if they follow one another for over STORED bytes or to the end of the file; and where they stop."""
+        out, at = [], pos
+        while at < self.size and at - pos <= STORED:
+            if (at > pos and not self.looks_like_member(at)) or (got := self.member(at)) is None:
+                return None
+            if at < self.end:
+                out.append(got[0])
+            at = got[1]
+        return out, at
+
     def records(self) -> Iterator[bytes]:
         pos, sure = self.start, self.start == 0
-        while (at := pos if sure and self.looks_like_member(pos) else self.candidate(pos)) is not None:
-            got = self.member(at)
-            if got is None or not (got[1] >= self.size or self.looks_like_member(got[1])):
-                pos, sure = at + 1, False
+        while pos < self.end:
+            if sure and self.looks_like_member(pos) and (got := self.member(pos)) is not None:
+                yield got[0]
+                pos = got[1]
                 continue
-            yield got[0]
-            pos, sure = got[1], True
-            if pos >= self.end:
+            if (pos := self.candidate(pos)) is None:
                 return
+            found = self.chain(pos)
+            sure = found is not None
+            if found:
+                yield from found[0]
+                pos = found[1]
+            else:
+                pos += 1
 
 
 def parse(text: bytes) -> dict:
