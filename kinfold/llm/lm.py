@@ -115,7 +115,8 @@ def lookup(counts: DataFrame, limit: int = LOOKUP) -> tuple[Lookup, int]:
             unigram[k] -= c[head[w]]
             within[k] -= 1
     within[HEAD_WORDS + 1 :] = np.log10(unigram[HEAD_WORDS + 1 :] + within[HEAD_WORDS + 1 :] + 1)
-    return Lookup(head, c, outcome, np.array([coarse(w) for w, _ in rows], np.int64), unigram, within, total, distinct), least
+    # One more of each, at -1, for words that are not there.
+    return Lookup(head, c, np.append(outcome, 0), np.array([*(coarse(w) for w, _ in rows), 0], np.int64), unigram, within, total, distinct), least
 
 
 def start(unigram: np.ndarray, seed: int = 3) -> list[np.ndarray]:
@@ -278,8 +279,7 @@ def score(docs: DataFrame) -> DataFrame:
         look, par, z = got.value
         row = TaskContext.get().partitionId() << 33
         log_c = np.append(np.log10(look.counts + 1.0), 0.0)  # at -1: not in the lookup
-        own = look.outcome > HEAD_WORDS
-        inside = np.append(np.where(own, log_c[:-1], 0.0), 0.0) if len(own) else np.zeros(1)
+        inside = np.where(look.outcome > HEAD_WORDS, log_c, 0.0)
         for b in frames:
             rows = []
             for doc, out_of, text in zip(*(c.to_pylist() for c in b.columns)):
