@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..ship import ship
+
 #: Rows and bytes of one Arrow batch; texts can be long, so rows alone do not bound a batch.
 BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 
@@ -66,7 +68,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds on its way to Python."""
+    """Bound what one Arrow batch holds on its way to Python, and see that Python has this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
