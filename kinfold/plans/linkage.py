@@ -20,6 +20,7 @@ from ..operators import features as P
 from ..operators import models as M
 from ..operators import retrieval as R
 from ..operators import sampling as A
+from ..ship import ship
 from ..sources import readers, sinks
 
 STAGES = ("queries", "prepare", "regions", "pairs", "prune", "augment", "train", "predict")
@@ -59,6 +60,7 @@ class Config:
 
 class Linkage:
     def __init__(self, spark: SparkSession, cfg: Config):
+        ship(spark)
         self.spark, self.cfg = spark, cfg
 
     # Tables of the job
