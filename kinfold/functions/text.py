@@ -78,13 +78,21 @@ def collapse_acronyms(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, V.DOTTED, -1), lambda part, i: F.concat(part, F.coalesce(F.replace(F.get(found, i), F.lit("."), F.lit("")), F.lit("")))), "")
 
 
-def with_name_views(df: DataFrame, name: str, country: str) -> DataFrame:
+def with_views(df: DataFrame, name: str, address: str, country: str) -> DataFrame:
+    """N2 and N3 together. Both texts are folded first: with a Python function above the steps of the names,
+    Catalyst would put those steps into one expression, each as often as it is referred to."""
+    d = df.select("*", latin_fold(F.col(name)).alias("__fn"), latin_fold(F.col(address)).alias("__fa"))
+    return with_addr_views(with_name_views(d, name, country, "__fn"), address, country, "__fa").drop("__fn", "__fa")
+
+
+def with_name_views(df: DataFrame, name: str, country: str, folded: str | None = None) -> DataFrame:
     """N2. df with name_core, name_nospace, name_acr, legal, name_native, name_handle, name_dba, name_ntok.
 
-    Step by step in columns of their own, so that no step is computed twice.
+    Step by step in columns of their own, so that no step is computed twice. folded: the folded text, if
+    df has it as a column.
     """
     c, keep = F.col, df.columns
-    d = df.withColumn("__f", latin_fold(c(name)))
+    d = df.withColumn("__f", c(folded) if folded else latin_fold(c(name)))
     d = d.withColumn("__parts", F.split("__f", V.ALIAS, -1))
     d = d.withColumn("name_dba", (F.size("__parts") > 1) & F.element_at("__parts", -1).rlike(r"\S"))
     d = d.withColumn("__s", F.when(c("name_dba"), F.element_at("__parts", -1)).otherwise(c("__f")))
@@ -120,10 +128,10 @@ def _bare(number: Column) -> Column:
     return F.regexp_replace(number, "^0+(?=.)", "")
 
 
-def with_addr_views(df: DataFrame, addr: str, country: str) -> DataFrame:
+def with_addr_views(df: DataFrame, addr: str, country: str, folded: str | None = None) -> DataFrame:
     """N3. df with addr_core, addr_nums, addr_primary, addr_empty, addr_ntok."""
     c, keep = F.col, df.columns
-    d = df.withColumn("__f", latin_fold(c(addr)))
+    d = df.withColumn("__f", c(folded) if folded else latin_fold(c(addr)))
     s = F.regexp_replace(F.regexp_replace("__f", V.POST_BOX, " "), V.NOT_APPLICABLE, " ")
     d = d.withColumn("__toks", F.filter(tokens(s), lambda t: ~F.array_contains(_set(V.ADDRESS_NULLS), t)))
     ordinal_words, street, french = _map(V.ORDINAL_WORDS), _map(V.STREET_WORDS), _map(V.FRENCH_WORDS)

@@ -115,7 +115,7 @@ class Linkage:
             for kind in ("name", "address"):
                 learned = self.get(f"translit_{kind}")
                 r = T.apply_dictionary(r, "key", kind, T.dictionary_for(r, kind, learned))
-            r = X.with_addr_views(X.with_name_views(r, "name", "country"), "address", "country")
+            r = X.with_views(r, "name", "address", "country")
             return r.withColumn("name_native", F.col("native")).drop("native", "key")
 
         self.put("records", records, ["split", "src", "country"])

@@ -69,7 +69,7 @@ NORM_COLS = ["name_core", "name_nospace", "name_acr", "legal", "name_native", "n
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.with_addr_views(X.with_name_views(demo.records(spark, sf_dir), "name", "country"), "address", "country")
+    return X.with_views(demo.records(spark, sf_dir), "name", "address", "country")
 
 
 def sides(n: DataFrame) -> tuple[DataFrame, DataFrame]:
