@@ -78,6 +78,12 @@ def collapse_acronyms(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, V.DOTTED, -1), lambda part, i: F.concat(part, F.coalesce(F.replace(F.get(found, i), F.lit("."), F.lit("")), F.lit("")))), "")
 
 
+def _settled(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """df's columns `keep` and the new ones, as the one row of a generator. A filter on them stays above it;
+    pushed below, it would write out every step as often as it is referred to, in one expression."""
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def with_views(df: DataFrame, name: str, address: str, country: str) -> DataFrame:
     """N2 and N3 together. Both texts are folded first: with a Python function above the steps of the names,
     Catalyst would put those steps into one expression, each as often as it is referred to."""
@@ -111,15 +117,16 @@ def with_name_views(df: DataFrame, name: str, country: str, folded: str | None =
     legal = F.array_sort(F.array_distinct(F.filter(F.transform("__toks", lambda t: legal_map[t]), lambda t: t.isNotNull())))
     d = d.withColumn("__latin", F.filter("__core", lambda t: ~t.rlike(V.INDIC)))
     initials = F.filter(F.transform("__latin", lambda t: F.substring(t, 1, 1)), lambda x: x.rlike(r"\p{L}"))
-    return d.select(
-        *keep,
+    return _settled(
+        d,
+        keep,
         F.array_join("__core", " ").alias("name_core"),
         F.array_join("__latin", "").alias("name_nospace"),
         F.array_join(initials, "").alias("name_acr"),
         F.array_join(legal, " ").alias("legal"),
         c("__s").rlike(V.INDIC).alias("name_native"),
         (c("__s").rlike(V.HANDLE) | c("__glued")).alias("name_handle"),
-        "name_dba",
+        c("name_dba").alias("name_dba"),
         F.size("__core").alias("name_ntok"),
     )
 
@@ -154,8 +161,9 @@ def with_addr_views(df: DataFrame, addr: str, country: str, folded: str | None =
 
     d = d.withColumn("__read", F.transform("__toks", read))
     d = d.withColumns({"__out": F.flatten(F.transform("__read", lambda p: p["out"])), "__nums": F.array_distinct(F.flatten(F.transform("__read", lambda p: p["num"])))})
-    return d.select(
-        *keep,
+    return _settled(
+        d,
+        keep,
         F.array_join("__out", " ").alias("addr_core"),
         F.array_join("__nums", " ").alias("addr_nums"),
         F.coalesce(F.get("__nums", 0), F.lit("")).alias("addr_primary"),
@@ -194,4 +202,4 @@ def with_components(df: DataFrame, addr: str, out: str = "components") -> DataFr
     d = d.withColumn("__folded", F.when(plain, F.transform("__parts", F.lower)).otherwise(_fold_each(F.when(~plain, F.col("__parts")))))
     # What is neither a letter, a digit nor of an Indic script separates words.
     clean = F.filter(F.transform("__folded", lambda p: F.trim(F.regexp_replace(p, r"[^a-z0-9ऀ-෿]+", " "))), lambda p: p != "")
-    return d.select(*keep, clean.alias(out))
+    return _settled(d, keep, clean.alias(out))
