@@ -73,10 +73,15 @@ def verify_top_k(found: DataFrame, queries: DataFrame, pool: DataFrame, k: int,
     return both.where(wrong | (F.col("cos").isNull() & (F.col("true") > F.col("last") + tolerance)))
 
 
-def exact_name(s1: DataFrame, pool: DataFrame, block: list[str], key: str = "name_core", cap: int = 50) -> DataFrame:
-    """J8. Pairs with the same non-empty key; keys that over `cap` pool rows have are left out."""
-    counts = pool.where(F.col(key) != "").groupBy(*block, key).agg(F.count("*").alias("n")).where(F.col("n") <= cap).drop("n")
-    p = pool.select(*block, key, "cand_id").join(counts, [*block, key])
+def exact_name(s1: DataFrame, pool: DataFrame, block: list[str], key: str = "name_core", cap: int | None = 50) -> DataFrame:
+    """J8. Pairs with the same non-empty key; keys that over `cap` pool rows have are left out, none if it is None.
+
+    The cap is for where another pass meets the rows it leaves out.
+    """
+    p = pool.select(*block, key, "cand_id")
+    if cap is not None:
+        counts = pool.where(F.col(key) != "").groupBy(*block, key).agg(F.count("*").alias("n")).where(F.col("n") <= cap).drop("n")
+        p = p.join(counts, [*block, key])
     return s1.where(F.col(key) != "").select(*block, key, "s1_id").join(p, [*block, key]).select(*block, "s1_id", "cand_id")
 
 

@@ -218,10 +218,10 @@ def reverse_pass(spark, sf_dir):
 EXACT = "few AS (SELECT country, src, name_core FROM norm WHERE src > 1 AND name_core <> '' GROUP BY ALL HAVING count(*) <= 50), ex AS (SELECT a.id AS s1_id, b.id AS cand_id FROM norm a JOIN norm b ON a.src = 1 AND b.src > 1 AND a.country = b.country AND a.name_core = b.name_core JOIN few f ON f.country = b.country AND f.src = b.src AND f.name_core = b.name_core)"
 
 
-def exact(n: DataFrame) -> DataFrame:
+def exact(n: DataFrame, cap: int | None = 50) -> DataFrame:
     s1, pool = sides(n)
     s1 = s1.drop("src").withColumn("src", F.explode(F.array(F.lit(2), F.lit(3))))
-    return R.exact_name(s1, pool, ["country", "src"]).select("s1_id", "cand_id")
+    return R.exact_name(s1, pool, ["country", "src"], cap=cap).select("s1_id", "cand_id")
 
 
 @query(f"WITH {NORM}, {EXACT} SELECT s1_id, cand_id FROM ex")
@@ -270,7 +270,8 @@ PAIRED = f"{NORM}, {EXACT}, pr AS (SELECT s1_id, cand_id, {', '.join(f'a.{c} AS
 def paired(spark, sf_dir) -> DataFrame:
     n = normalised(spark, sf_dir)
     s1, pool = sides(n)
-    return P.attach(exact(n), s1, pool, NORM_COLS)
+    # No other pass meets these rows, so no name is left out. The SQL keeps J8's cap: it differs where over 50 pool rows share a name.
+    return P.attach(exact(n, None), s1, pool, NORM_COLS)
 
 
 @query(f"""WITH {PAIRED} SELECT s1_id, cand_id,

@@ -251,3 +251,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.read_json(spark, f"{tmp_path}/j") == {"a": [1, "é"]}
     sinks.write_parquet(df.withColumn("split", F.lit("train")).withColumn("src", F.lit(1)), f"{tmp_path}/rec", ["split", "src", "country"])
     assert readers.read_records(spark, f"{tmp_path}/rec", "train", 1, "US", ["entity_id"]).collect()[0][0] == "S1-1"
+
+
+def test_frequent_names_are_linked(spark, tmp_path):
+    # 60 pool rows of one country and source bear the name of a record: over the cap of the exact pass.
+    from kinfold.plans.queries import QUERIES
+
+    part = [(i, "green linen", "ECONOMY", "Brand#1", 5) for i in (31, *range(6, 6 + 60 * 40, 40))]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    pool = ",".join(str(i) for i in range(6, 6 + 60 * 40, 40))
+    assert [(r.s1_id, r.matches) for r in QUERIES["link_records"](spark, str(tmp_path)).collect()] == [(31, pool)]
+    assert QUERIES["features_similarities"](spark, str(tmp_path)).count() == 60 and QUERIES["exact_name"](spark, str(tmp_path)).count() == 0
