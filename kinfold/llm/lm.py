@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batches, id_fraction, id_remainder, materialize, words
 
 HEAD_WORDS, ENDINGS, COARSE, DIM = 2047, 256, 16, 24
-#: Words whose counts are broadcast; tokens of the first fit at most; noise words of a minibatch.
+#: Words whose counts are broadcast; tokens of the first fit, whose last text is whole; noise words of a minibatch.
 #: AdaGrad: tokens of a minibatch, rate, and the sum of squares it starts from.
 LOOKUP, FIRST_TOKENS, NOISE = 1 << 17, 400_000, 128
 BATCH, RATE, STATE = 2048, 0.1, 1.0
@@ -194,13 +194,27 @@ def minibatches(texts: Iterator[str | None], v: Lookup) -> Iterator[tuple]:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
+def first_texts(training: DataFrame, total: int, seed: str) -> list[str | None]:
+    """Whole texts of training(doc_id, text) in the order of a hash of the id, up to the one that reaches FIRST_TOKENS.
+
+    total: the tokens of all of training.
+    """
+    place = id_fraction(F.col("doc_id"), seed)
+    # A share that holds about twice as many tokens; the rest is never sorted.
+    few = training.where(place < min(1.0, 2 * FIRST_TOKENS / max(1, total))).orderBy(place, F.xxhash64("text"), "text").select("text")
+    texts, n = [], 0
+    for r in few.toLocalIterator():
+        texts.append(r["text"])
+        n += len(words(r["text"])) + 1
+        if n >= FIRST_TOKENS:
+            break
+    return texts
+
+
 def fit(training: DataFrame, v: Lookup, seed: str = "lm") -> list[np.ndarray]:
     """Parameters from all of training(doc_id, text)."""
     spark = training.sparkSession
-    # A share of the documents that holds about FIRST_TOKENS, and a limit should their texts be long.
-    share = min(1.0, FIRST_TOKENS / max(1, v.total))
-    few = training.where(id_fraction(F.col("doc_id"), seed) < share).select("doc_id", F.substring("text", 1, 1 << 16).alias("text")).orderBy("doc_id", "text").limit(2000)
-    texts = [r["text"] for r in few.toLocalIterator()]
+    texts = first_texts(training, v.total, seed)
     params = start(v.unigram)
     for epoch in range(4):
         ascend(params, minibatches(iter(texts), v), v.unigram, epoch)

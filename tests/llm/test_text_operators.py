@@ -344,3 +344,12 @@ class TestLanguageModel:
         assert lm.score(odd(spark).limit(0)).count() == 0
         held = docs(spark, [(i, "a b c", None, None) for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2])
         assert all(r.train_tokens == 0 and r.n_known == 0 and np.isfinite(r.score) for r in lm.score(held).collect())
+
+    def test_first_fit_takes_whole_texts_in_hash_order(self, spark, monkeypatch):
+        rows = [(i, "a b c") for i in range(2500)] + [(9000, "w " * 40_000)]
+        d = docs(spark, [(i, t, None, None) for i, t in rows])
+        got = lm.first_texts(d, 4 * 2500 + 40_001, "lm")
+        assert len(got) == 2501 and max(map(len, got)) == 80_000
+        monkeypatch.setattr(lm, "FIRST_TOKENS", 400)
+        few = lm.first_texts(docs(spark, [(i, f"a b {i}", None, None) for i in range(2000)]), 8000, "lm")
+        assert len(few) == 100 and max(int(t.split()[2]) for t in few) > 1500
