@@ -259,6 +259,11 @@ class TestToxicity:
         for never in (toxicity.train(d, labels.limit(0), ["junk", "rude"]), toxicity.train(d.limit(0), labels, ["junk", "rude"])):
             assert not any(r.is_rude for r in toxicity.score(d, never).collect())
 
+    def test_cut_is_the_best_one_wherever_it_lies(self):
+        y = np.array([1, 1, 0, 0])
+        assert toxicity._best_cut(np.array([0.2, 0.15, 0.05, 0.01]), y) == pytest.approx(0.1)
+        assert toxicity._best_cut(np.array([0.99, 0.95, 0.85, 0.75]), y) == pytest.approx(0.9)
+
 
 class TestLanguage:
     STOCK = {"aa": ["kala", "mala", "suna", "rani"], "bb": ["chrz", "szcz", "krzt", "prst"], "cc": ["où", "été", "français", "élève"]}
