@@ -19,10 +19,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, and rows without id."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: that of the smallest id, of any of these or of rows without id."""
+    # Rows are told apart by a key that is written once, not by doc_id, which can be null or repeated.
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    members = materialize(groups.join(rows.select("__row", "doc_id"), "__row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    gone = members.join(first.select("component_id", F.col("m.__row").alias("stays")), "component_id").where("__row != stays").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

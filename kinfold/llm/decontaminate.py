@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, words
+from .common import batches, map_texts, words
 
 SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-9
 #: Bytes of item text in one broadcast block.
@@ -100,18 +100,8 @@ def prepare(rows: list[tuple[int, str]], size: int, threshold: float) -> Items:
     return Items([i for i, _ in w], lengths, [frozenset(shingles(x, n)) for (_, x), n in zip(w, lengths)], threshold)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id, item_shingles, shared, containment).
-
-    A row for each document and item of which at least `threshold` of the distinct word shingles occur
-    in the document. Words are runs without ASCII white space, A-Z lowered; an item of fewer than `size`
-    words is one shingle of its own length. Null or empty texts and rows without id match nothing;
-    repeated rows of documents give repeated rows, repeated items count once. Other columns are ignored;
-    empty tables give no rows.
-    """
-    spark = docs.sparkSession
-    batches(spark)
-    pairs = "doc_id long, item_id long, item_shingles long, shared long, containment double"
+def blocks_of(items: DataFrame, size: int, threshold: float) -> Iterator[Items]:
+    """The distinct items(item_id, text) with id and text, in blocks of at most about BLOCK_BYTES of text."""
     known = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and length(text) > 0").distinct()
     known = known.withColumn("bytes", F.octet_length("text"))
     # Blocks by size: items of one power of two of bytes, in as many hashed parts as their bytes ask for.
@@ -129,10 +119,26 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, thresho
         blocks += [(k == c) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * parts)) == i) for i in range(2 * parts)] if parts > 1 else []
     if pending:
         blocks.append(k.isin(pending))
+    for block in blocks:
+        yield prepare([tuple(r) for r in known.where(block).select("item_id", "text").collect()], size, threshold)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id, item_shingles, shared, containment).
+
+    A row for each document and item of which at least `threshold` of the distinct word shingles occur
+    in the document. Words are runs without ASCII white space, A-Z lowered; an item of fewer than `size`
+    words is one shingle of its own length. Null or empty texts and rows without id match nothing;
+    repeated rows of documents give repeated rows, repeated items count once. Other columns are ignored;
+    empty tables give no rows.
+    """
+    spark = docs.sparkSession
+    batches(spark)
+    pairs = "doc_id long, item_id long, item_shingles long, shared long, containment double"
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and length(text) > 0")
     out = spark.createDataFrame([], pairs)
-    for block in blocks:
-        got = spark.sparkContext.broadcast(prepare([tuple(r) for r in known.where(block).select("item_id", "text").collect()], size, threshold))
+    for block in blocks_of(items, size, threshold):
+        got = spark.sparkContext.broadcast(block)
 
         def run(frames: Iterator[pd.DataFrame], got=got) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -145,5 +151,12 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, thresho
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that hold an item. A row without doc_id is kept: it cannot be told apart."""
-    return docs.join(contaminated(docs, items, size, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text holds an item. Each row is decided by its own text, with or without doc_id."""
+    keep = {f"__c{i}": c for i, c in enumerate(docs.columns)}
+    text = f"__c{docs.columns.index('text')}"
+    d = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in keep.items()])
+    for block in blocks_of(items, size, threshold):
+        got = docs.sparkSession.sparkContext.broadcast(block)
+        hits = lambda texts, got=got: {"__hit": [next(got.value.search(t), None) is not None for t in texts]}
+        d = map_texts(d, list(keep), text, hits, "__hit boolean").where("NOT __hit").drop("__hit")
+    return d.select(*[F.col(k).alias(c) for k, c in keep.items()])

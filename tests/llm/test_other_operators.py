@@ -268,3 +268,10 @@ class TestPipeline:
                     out.write.parquet(path)
                     d = spark.read.parquet(path)
                 assert out.count() == 0 or not empty
+
+    def test_near_duplicates_leave_one_row(self, spark):
+        a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+        rows = [(4, a), (4, a), (None, a), (None, b), (None, b), (2, c), (9, c), (4, c)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+        assert got == [(-1, b), (2, c), (4, a)]

@@ -169,6 +169,11 @@ class TestDecontamination:
                 bits, need = decontaminate.bin_bits(size_class, fewest, 0.8), max(1, np.ceil(0.8 * fewest))
                 assert (2.0 ** (size_class + 1) / 2.0**bits) ** need <= decontaminate.MISS or bits == 63
 
+    def test_clean_decides_by_row(self, spark):
+        items = spark.createDataFrame([(1, "one two three four five six")], self.ITEMS)
+        rows = [(None, "x one two three four five six", None, None), (None, "clean text", None, None), (7, "one two three four five six y", None, None), (7, "clean too", None, None)]
+        assert {(r.doc_id, r.text) for r in decontaminate.clean(docs(spark, rows), items).collect()} == {(None, "clean text"), (7, "clean too")}
+
 
 class TestMixing:
     def test_water_filling(self, spark):
