@@ -26,6 +26,7 @@ from .simhash import _forest
 #: Vectors the codebooks are fitted on at most; code words of a half at most; members a cell aims at.
 SAMPLE, MAX_WORDS, CELL = 8192, 1024, 64
 BLOCK = 1024
+MET = "rep long, n long, to long"
 
 
 @dataclass
@@ -171,13 +172,31 @@ def _verify(threshold: float):
     return run
 
 
+def _met(groups: DataFrame, n: int, threshold: float, recall: float, sample: int) -> DataFrame:
+    """n groups(rep, mult, embedding) of one length -> counts of links and edges of forests (MET)."""
+    spark = groups.sparkSession
+    picked = groups.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toPandas()["embedding"].to_list()
+    x = np.array(picked, np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    index = spark.sparkContext.broadcast(fit(x, n, threshold, recall))
+    found = materialize(groups.select("rep", "mult", "embedding").mapInPandas(_probe(index), "cell long, visitor boolean, rep long, mult long, unit binary"), "visits")
+    sizes = found.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("n_h"), F.count_if("visitor").alias("n_v"))
+    crowded = materialize(sizes.where((F.col("n_h") > 0) & (F.greatest("n_h", "n_v") > BLOCK)).select("cell", F.ceil(F.col("n_h") / BLOCK).cast("int").alias("n_hb"), F.ceil(F.col("n_v") / BLOCK).cast("int").alias("n_vb")), "crowded", 0)
+    r = found.join(crowded, "cell", "left").fillna(1, ["n_hb", "n_vb"])
+    r = r.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("visitor"), F.col("n_vb")).otherwise(F.col("n_hb"))).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("n_hb")).otherwise(F.col("n_vb")) - 1)))
+    r = r.select("cell", F.when(F.col("visitor"), F.col("other")).otherwise(F.col("own")).alias("hb"), F.when(F.col("visitor"), F.col("own")).otherwise(F.col("other")).alias("vb"), "visitor", "rep", "mult", "unit")
+    keys = ["cell", "hb", "vb"]
+    return materialize(r.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInPandas(_verify(threshold), MET), "met", 2 * n)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.995, sample: int = SAMPLE) -> DataFrame:
     """vectors(vec_id, embedding) -> (vec_id, n_links, component_id, kept): one row per row of vectors.
 
     Two vectors link if their cosine in double precision is at least `threshold` and the index meets
     them; n_links counts the other rows linked directly, component_id is the smallest vec_id reachable
-    and kept tells whether it is the row's own. Equal vectors are collapsed and counted. Rows whose
-    embedding is null, zero, empty, of another length than most of the sample, or holds a null or
+    and kept tells whether it is the row's own. Equal vectors are collapsed and counted. Vectors
+    of different lengths do not link. Rows whose embedding is null, zero, empty, or holds a null or
     non-finite component link with nothing, nor do rows without vec_id (component_id null, kept).
     Other columns are ignored. No rows give no rows.
     """
@@ -188,25 +207,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).withColumn("vkey", F.when(good & F.col("vec_id").isNotNull(), F.md5(e.cast("string"))))
     groups = rows.where("vkey is not null").groupBy("vkey").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
     groups = materialize(groups, "vectors", vectors.count())
-    picked = groups.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toPandas()["embedding"].to_list()
-    sizes = [len(v) for v in picked]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
-    groups = groups.where(F.size("embedding") == dim)
-    if not dim:
+    # Vectors of one length each have an index of their own; one vector alone has nothing to meet.
+    sizes = {r["d"]: r["n"] for r in groups.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return vectors.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    x = np.array([v for v in picked if len(v) == dim], np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
-    n = groups.count()
-    index = spark.sparkContext.broadcast(fit(x, n, threshold, recall))
-    found = materialize(groups.select("rep", "mult", "embedding").mapInPandas(_probe(index), "cell long, visitor boolean, rep long, mult long, unit binary"), "visits")
-    sizes = found.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("n_h"), F.count_if("visitor").alias("n_v"))
-    crowded = materialize(sizes.where((F.col("n_h") > 0) & (F.greatest("n_h", "n_v") > BLOCK)).select("cell", F.ceil(F.col("n_h") / BLOCK).cast("int").alias("n_hb"), F.ceil(F.col("n_v") / BLOCK).cast("int").alias("n_vb")), "crowded", 0)
-    r = found.join(crowded, "cell", "left").fillna(1, ["n_hb", "n_vb"])
-    r = r.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("visitor"), F.col("n_vb")).otherwise(F.col("n_hb"))).cast("int"))
-    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("n_hb")).otherwise(F.col("n_vb")) - 1)))
-    r = r.select("cell", F.when(F.col("visitor"), F.col("other")).otherwise(F.col("own")).alias("hb"), F.when(F.col("visitor"), F.col("own")).otherwise(F.col("other")).alias("vb"), "visitor", "rep", "mult", "unit")
-    keys = ["cell", "hb", "vb"]
-    met = materialize(r.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInPandas(_verify(threshold), "rep long, n long, to long"), "met", 2 * n)
+    met = spark.createDataFrame([], MET)
+    for d, n in sorted(sizes.items()):
+        if n > 1:
+            met = met.unionByName(_met(groups.where(F.size("embedding") == d), n, threshold, recall, sample))
+    n = sum(sizes.values())
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     moved = connected_components(met.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), n)
     info = groups.select("vkey", "rep", "mult").join(counts, "rep", "left").join(moved, F.col("rep") == F.col("id"), "left")

@@ -92,6 +92,11 @@ class TestEmbeddings:
         assert embed_dedup.near_duplicates(d.limit(0)).count() == 0
         assert embed_dedup.near_duplicates(d.where("vec_id < 7")).count() == 6
 
+    def test_every_length_has_its_links(self, spark):
+        rows = [(1, [1.0, 2.0, 3.0], 0), (2, [2.0, 4.0, 6.01], 0), (3, [3.0, -1.0, 0.0], 0), (4, [1.0, 2.0], 0), (5, [1.0, 2.01], 0), (6, [5.0], 0), (7, [5.0], 0)]
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+        assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+
 
 class TestWarc:
     PAGES = "page_id long, url string, html string"
