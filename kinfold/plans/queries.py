@@ -184,9 +184,10 @@ for _kind, _k in (("name", 10), ("addr", 10), ("combo", 15)):
 def topk_verify(spark, sf_dir):
     """J3. Rows where a brute-force top-k differs: none."""
     w = weights(spark, sf_dir, "combo")
-    q = w.where("src = 1").select("country", F.col("id").alias("s1_id"), "term", "w")
-    p = w.where("src = 2").select("country", F.col("id").alias("cand_id"), "term", "w")
-    return R.verify_top_k(R.top_k(q, p, 5, ["country"]), q, p, 5, ["country"])
+    q = w.where("src = 1").select("country", F.col("id").alias("s1_id"), "term", "w").withColumn("src", F.explode(F.array(F.lit(2), F.lit(3))))
+    p = w.where("src > 1").select("country", "src", F.col("id").alias("cand_id"), "term", "w")
+    block = ["country", "src"]
+    return R.verify_top_k(R.top_k(q, p, 5, block), q, p, 5, block)
 
 
 REGION = "CASE WHEN addr_empty THEN '' ELSE addr_nums END"

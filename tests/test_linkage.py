@@ -262,3 +262,11 @@ def test_frequent_names_are_linked(spark, tmp_path):
     pool = ",".join(str(i) for i in range(6, 6 + 60 * 40, 40))
     assert [(r.s1_id, r.matches) for r in QUERIES["link_records"](spark, str(tmp_path)).collect()] == [(31, pool)]
     assert QUERIES["features_similarities"](spark, str(tmp_path)).count() == 60 and QUERIES["exact_name"](spark, str(tmp_path)).count() == 0
+
+
+def test_topk_verify_covers_both_sources(spark, monkeypatch):
+    from kinfold.plans import queries
+
+    whole = R.top_k
+    monkeypatch.setattr(queries.R, "top_k", lambda *a, **k: whole(*a, **k).where("cand_id % 10 < 6"))  # loses source 3
+    assert queries.QUERIES["topk_verify"](spark, "/root/testdata/sf0.001").count() > 0
