@@ -30,22 +30,24 @@ def learn_tokens(pairs: DataFrame, latin: str, native: str, is_native: Column |
     """
     t = F.col("t")
     own = t.rlike(V.INDIC) if is_native is None else is_native
-    # Array lambdas cannot take a column over t; so tokens are judged as rows.
-    p = pairs.select(F.monotonically_increasing_id().alias("pair"), tokens(F.col(latin)).alias("lt"), tokens(F.col(native)).alias("nt"))
-    nt = p.select("pair", F.size("lt").alias("n_l"), F.size("nt").alias("n_n"), F.posexplode("nt").alias("at", "t")).withColumn("own", own)
-    lt = p.select("pair", F.posexplode("lt").alias("at", "t")).withColumn("own", own)
-    usable = nt.groupBy("pair").agg(F.max("own").alias("any")).where("any").join(lt.groupBy("pair").agg(F.max("own").alias("bad")), "pair", "left").where(~F.coalesce("bad", F.lit(False))).select("pair")
-    nt, lt = nt.join(usable, "pair"), lt.join(usable, "pair").select("pair", F.col("at").alias("l_at"), F.col("t").alias("b"))
+    # Array lambdas cannot take a column over t; so tokens are judged as rows. A pair is known by its tokens, and equal
+    # pairs are one that counts m times: no key depends on partitions or on the order rows arrive in.
+    p = pairs.select(tokens(F.col(latin)).alias("lt"), tokens(F.col(native)).alias("nt"))
+    p = p.groupBy(F.md5(F.concat_ws(" ", F.array_join("lt", " "), F.lit("|"), F.array_join("nt", " ")).cast("binary")).alias("pair")).agg(F.any_value("lt").alias("lt"), F.any_value("nt").alias("nt"), F.count("*").alias("m"))
+    nt = p.select("pair", "m", F.size("lt").alias("n_l"), F.size("nt").alias("n_n"), F.posexplode("nt").alias("at", "t")).withColumn("own", own)
+    lt = p.select("pair", "m", F.posexplode("lt").alias("at", "t")).withColumn("own", own)
+    usable = nt.groupBy("pair", "m").agg(F.max("own").alias("any")).where("any").join(lt.groupBy("pair").agg(F.max("own").alias("bad")), "pair", "left").where(~F.coalesce("bad", F.lit(False))).select("pair", "m")
+    nt, lt = nt.join(usable.select("pair"), "pair"), lt.join(usable.select("pair"), "pair").select("pair", "m", F.col("at").alias("l_at"), F.col("t").alias("b"))
     nt = nt.where("own").withColumnRenamed("t", "a")
-    aligned = nt.where("n_l = n_n").join(lt, "pair").where("at = l_at").groupBy("a", "b").agg(F.count("*").alias("n"))
+    aligned = nt.where("n_l = n_n").join(lt.drop("m"), "pair").where("at = l_at").groupBy("a", "b").agg(F.sum("m").alias("n"))
     by = Window.partitionBy("a")
     best = aligned.withColumn("all", F.sum("n").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("n"), "b"))).where("r = 1")
     placed = best.where((F.col("n") >= min_count) & (F.col("n") / F.col("all") >= min_share)).select("a", "b")
-    a_sets, b_sets = nt.select("pair", "a").distinct(), lt.select("pair", "b").distinct()
-    total = usable.agg(F.count("*").alias("pairs"))
-    a_df = a_sets.groupBy("a").agg(F.count("*").alias("a_df")).where(F.col("a_df") >= min_count).join(placed, "a", "left_anti")
-    b_df = b_sets.groupBy("b").agg(F.count("*").alias("b_df"))
-    met = a_sets.join(a_df, "a").join(b_sets, "pair").groupBy("a", "b", "a_df").agg(F.count("*").alias("n")).where(F.col("n") / F.col("a_df") >= min_share)
+    a_sets, b_sets = nt.select("pair", "m", "a").distinct(), lt.select("pair", "m", "b").distinct()
+    total = usable.agg(F.sum("m").alias("pairs"))
+    a_df = a_sets.groupBy("a").agg(F.sum("m").alias("a_df")).where(F.col("a_df") >= min_count).join(placed, "a", "left_anti")
+    b_df = b_sets.groupBy("b").agg(F.sum("m").alias("b_df"))
+    met = a_sets.join(a_df, "a").join(b_sets.drop("m"), "pair").groupBy("a", "b", "a_df").agg(F.sum("m").alias("n")).where(F.col("n") / F.col("a_df") >= min_share)
     scored = met.join(b_df, "b").crossJoin(F.broadcast(total)).withColumn("score", F.col("n") / F.col("a_df") * F.log(1 + F.col("pairs") / F.col("b_df")))
     scored = scored.withColumn("r", F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "b"))).where("r = 1").select("a", "b")
     return placed.unionByName(scored).select(F.col("a").alias("native"), F.col("b").alias("latin"))
