@@ -10,10 +10,27 @@ def place(col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), col.cast("string")).cast("binary"))
 
 
+def ranked(rows: DataFrame, key: str, seed: int, part: list[str]) -> DataFrame:
+    """rows with __r, the number from 1 of each row of a part in order of place and key, and __n, the rows of its part.
+
+    Places are cut into 4,096 even bins by their leading digits: rows are numbered within a bin, and the bins of
+    a part, few whatever its size, are summed up in order. No part is sorted in one task.
+    """
+    r = rows.withColumn("__p", place(F.col(key), seed)).withColumn("__bin", F.substring("__p", 1, 3))
+    n = r.groupBy(*[F.col(c).alias(f"__{c}") for c in part], F.col("__bin").alias("__of")).agg(F.count("*").alias("__m"))
+    own = Window.partitionBy(*[f"__{c}" for c in part])
+    before = F.coalesce(F.sum("__m").over(own.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.withColumn("__before", before).withColumn("__n", F.sum("__m").over(own))
+    r = r.withColumn("__i", F.row_number().over(Window.partitionBy(*part, "__bin").orderBy("__p", key)))
+    same = F.col("__bin") == F.col("__of")
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return r.join(n, same).select(*rows.columns, (F.col("__before") + F.col("__i")).alias("__r"), "__n")
+
+
 def stratified(rows: DataFrame, key: str, stratum: str, fraction: float, seed: int) -> DataFrame:
     """M1. Of each stratum the round(fraction x n) rows of the lowest places, one at least."""
-    w = Window.partitionBy(stratum)
-    r = rows.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(place(F.col(key), seed), key)))
+    r = ranked(rows, key, seed, [stratum])
     return r.where(F.col("__r") <= F.greatest(F.lit(1), F.round(F.lit(fraction) * F.col("__n")))).drop("__n", "__r")
 
 
@@ -29,8 +46,8 @@ def disjoint(rows: DataFrame, key: str, stratum: str, fractions: list[tuple[floa
 
 def folds(rows: DataFrame, group: str, n: int, seed: int) -> DataFrame:
     """M4. (group, fold): distinct groups in seeded order, dealt in turn."""
-    g = rows.select(group).distinct()
-    return g.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(place(F.col(group), seed), group)) - 1, F.lit(n)))
+    g = ranked(rows.select(group).distinct(), group, seed, [])
+    return g.select(group, F.pmod(F.col("__r") - 1, F.lit(n)).cast("int").alias("fold"))
 
 
 def dev_subset(s1: DataFrame, pool: DataFrame, truth: DataFrame, n: int, extras: int, seed: int) -> DataFrame:
@@ -52,9 +69,9 @@ def negatives(positives: DataFrame, pool: DataFrame, part: list[str], seed: int)
 
     Part members stand in a seeded ring; the negative is the next one after a seeded start. positives(s1_id,
     cand_id, part..) -> (s1_id, cand_id, negative)."""
-    ring = Window.partitionBy(*part).orderBy(place(F.col("cand_id"), seed), "cand_id")
-    p = pool.select("cand_id", *part).withColumn("at", F.row_number().over(ring) - 1)
-    size = p.groupBy(*part).agg(F.count("*").alias("size"))
+    ring = ranked(pool.select("cand_id", *part), "cand_id", seed, part)
+    p = ring.select("cand_id", *part, (F.col("__r") - 1).alias("at"))
+    size = ring.groupBy(*part).agg(F.first("__n").alias("size"))
     start = F.conv(F.substring(place(F.concat_ws("/", "s1_id", "cand_id"), seed), 1, 8), 16, 10).cast("long")
     # One step beyond as many neighbours as the record has matches is sure to meet a stranger.
     truth = positives.select("s1_id", "cand_id").distinct()
