@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,30 +14,36 @@ from pyspark.sql.types import StringType
 from . import vocabulary as V
 
 
-def _sound(ch: str) -> tuple[str, str]:
-    """What a character is (vowel sign, virama, other) and the Latin letters it stands for, from its Unicode name."""
-    name = unicodedata.name(ch, "")
-    last = lambda mark: name.rsplit(mark, 1)[-1].lower().replace("vocalic ", "")
-    if "DIGIT" in name:
-        return "other", str(unicodedata.digit(ch, 0))
-    if "VOWEL SIGN" in name:
-        return "vowel", last("VOWEL SIGN ")
-    if "VIRAMA" in name:
-        return "virama", ""
-    if "ANUSVARA" in name or "CANDRABINDU" in name:
-        return "other", "n"
-    return "other", last("LETTER ").replace(" ", "") if "LETTER" in name else ""
+#: Marks between sounds: an inherent a, which gives way to a JOIN right after it.
+INHERENT, JOIN = "\x01", "\x02"
+
+
+def _spelling(ch: str) -> str:
+    """What a character contributes, from its Unicode name: digits their value, nasal signs n, letters and vowel
+    signs the sound they are called by, other signs nothing. Vowel signs and viramas start with a JOIN."""
+    block, _, kind = unicodedata.name(ch, "").partition(" ")
+    if "DIGIT" in kind:
+        return str(unicodedata.digit(ch, 0))
+    joins = JOIN * ("VIRAMA" in kind or "VOWEL SIGN" in kind)
+    if "ANUSVARA" in kind or "CANDRABINDU" in kind:
+        return joins + "n"
+    called = re.search(r"(?:VOWEL SIGN|LETTER) (.*)", kind)
+    sound = called[1].lower().replace("vocalic ", "") if called else ""
+    sound = sound if joins else sound.replace(" ", "")
+    return joins + re.sub(r"(?<=.)a$", INHERENT, sound)
+
+
+@cache
+def spellings() -> dict[int, str]:
+    """The characters of the Indic blocks, by code point."""
+    return {c: _spelling(chr(c)) for c in range(V.INDIC_FIRST, V.INDIC_LAST + 1)}
 
 
 def romanise(token: str) -> str:
-    """Letters by name; a vowel sign or virama takes the place of the inherent a before it; long vowels are shortened."""
-    pieces: list[str] = []
-    for kind, sound in map(_sound, token):
-        if kind != "other" and pieces and re.fullmatch(".+a", pieces[-1]):
-            pieces[-1] = pieces[-1][:-1]
-        if kind == "vowel" or sound:
-            pieces.append(sound)
-    return re.sub(r"([aeiou])\1+", r"\1", "".join(pieces))
+    """The spellings of the characters; a vowel sign or virama takes the place of the inherent a before it, and of
+    equal vowels in a row one stays."""
+    spelt = token.translate(spellings()).replace(INHERENT + JOIN, "").replace(INHERENT, "a").replace(JOIN, "")
+    return re.sub(r"(a)a+|(e)e+|(i)i+|(o)o+|(u)u+", lambda m: m[0][0], spelt)
 
 
 @F.pandas_udf(StringType())

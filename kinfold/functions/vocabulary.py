@@ -44,6 +44,7 @@ WEB_ENDING = rf"\.(?:com|in|net|org|co|fr|biz|info){_R}"
 DOTTED = rf"{_L}(?:[a-z]\.){{2,}}[a-z]?\.?"
 TOKEN = r"[a-z0-9À-ɏ]+|[ऀ-෿]+"
 INDIC = r"[ऀ-෿]"
+INDIC_FIRST, INDIC_LAST = 0x900, 0xDFF
 POST_BOX = rf"{_L}(?:p\s*\.?\s*o\s*\.?\s*box|post\s*box|pmb)\s*[#:.\-]?\s*\d+"
 NOT_APPLICABLE = rf"{_L}n\s*/\s*a{_R}"
 ORDINAL = r"^([0-9]+)(?:st|nd|rd|th)$"
