@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Grids of ranks, probabilities, losses and thresholds.
 TOP_N = (3, 4, 5, 6, 8, 10, 12, 15, 20, 30)
 MIN_P = (0.0, 0.0005, 0.001, 0.003, 0.01, 0.02, 0.05)
 BUDGETS = (0.0005, 0.001, 0.002, 0.005, 0.01)

@@ -81,6 +81,38 @@ def test_retrieval_texts(spark):
     assert [p.components for p in parts] == [["12 rue e", "paris", "ile de france"], [], ["मुंबई", "mh"]]
 
 
+def test_spellings_follow_the_names():
+    # k + virama + ssa + long i; an independent long vowel; nukta, which says nothing, between consonant and sign.
+    assert T.romanise("क्षी") == "kssi" and T.romanise("आम") == "ama" and T.romanise("क़ि") == "ki" and T.romanise("") == ""
+    assert T.romanise("কলকাতা") == "kalakata" and T.romanise("৪২") == "42"
+
+
+def test_learned_tokens_do_not_depend_on_partitions(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for _ in range(400):
+        own = [rng.choice(words) for _ in range(rng.randrange(1, 5))]
+        rows.append((" ".join(own), " ".join(x + "q" for x in own) + rng.choice(["", "", " zzq"])))
+    rows += rows[:50]
+    pairs = spark.createDataFrame(rows, "latin string, native string")
+    other = pairs.join(pairs.distinct().withColumnRenamed("latin", "l"), "native").where("latin = l").drop("l")
+    got = [sorted(map(tuple, L.learn_tokens(p, "latin", "native", F.col("t").endswith("q")).collect())) for p in (pairs, pairs.orderBy(F.rand(1)).repartition(7), other.repartition(3))]
+    assert got[0] == got[1] == got[2] and {f"{w}q" for w in words} <= {n for n, _ in got[0]} and all(n[:-1] == b for n, b in got[0] if n != "zzq")
+
+
+def test_ranks_by_bins_are_those_of_one_sort(spark):
+    import hashlib
+
+    rows = [(i, "ab"[i % 3 == 0] if i % 7 else None) for i in range(500)]
+    got = {r.k: (r["__r"], r["__n"]) for r in A.ranked(spark.createDataFrame(rows, "k long, s string"), "k", 5, ["s"]).collect()}
+    for part in ("a", "b", None):
+        own = sorted((hashlib.md5(f"5:{k}".encode()).hexdigest(), k) for k, s in rows if s == part)
+        assert [got[k] for _, k in own] == [(i + 1, len(own)) for i in range(len(own))]
+
+
 def test_romanise_and_apply(spark):
     assert T.romanise("कमल") == "kamala" and T.romanise("किरण") == "kiranna" and T.romanise("रोड") == "rodda" and T.romanise("१२") == "12" and T.romanise("सं") == "san"
     d = spark.createDataFrame([(1, "shop कमल रोड 5"), (2, "plain"), (3, None)], "id int, t string")
