@@ -23,8 +23,8 @@ from .common import batches, map_texts, words
 BUCKETS = 1 << 18
 #: Labelled documents the chain is fitted on at most; folds of the out-of-fold predictions.
 SAMPLE, FOLDS = 8000, 4
-#: Rows that a fit sees in all, at least where that takes at most 60 rounds.
-STEPS = 48_000
+#: Times that a fit goes through its rows.
+EPOCHS = 12
 _STRIP = bytes(b for b in range(128) if not chr(b).isalnum())
 _EMPTY = (np.empty(0, np.int64), np.empty(0))
 
@@ -61,7 +61,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     """docs(doc_id, text), labels(doc_id, <categories>) with 0/1 -> one model per category, in order.
 
     Labels with a null id or category are left out; of the rest, the `sample` smallest by a hash of the id
-    are used. Without both values among them a category is never predicted.
+    are used, and of the rows of documents that bear them the `sample` smallest by a hash of id and features.
+    Null and empty texts count as texts without words. Without both values among the rows a category is never
+    predicted. Fits of the folds run as tasks, so that the driver holds features and weights only.
     """
     spark = docs.sparkSession
     batches(spark)
@@ -78,13 +80,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
             yield out
 
     schema = "__id long, " + ", ".join(f"`{c}` int" for c in categories) + ", cols binary, vals binary"
-    rows = ids.select("__id", *categories, "text").mapInPandas(run, schema).toPandas().sort_values(["__id", *categories], ignore_index=True)
+    found = ids.select("__id", *categories, "text").mapInPandas(run, schema)
+    rows = found.orderBy(F.xxhash64("__id", "cols", "vals"), "__id", *categories).limit(sample).toPandas().sort_values(["__id", *categories, "cols"], ignore_index=True)
     x = linear.rows_of([(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for c, v in zip(rows["cols"], rows["vals"])])
     # Rows of one document share a fold.
     fold = rows["__id"].factorize()[0] % folds
     models, width = [], BUCKETS
-    # Few rows are gone through more often, so that as many updates are made.
-    epochs = max(6, min(60, STEPS // max(1, len(x))))
     for c in categories:
         y = rows[c].to_numpy(np.int64)
         if len(np.unique(y)) < 2:
@@ -92,19 +93,53 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
             x = x.with_column(width, np.zeros(len(x)))
             width += 1
             continue
-        fit = lambda at: linear.train(x.take(at), y[at], width, 2, epochs=epochs, batch=32, alpha=0.3, l1=1e-4, l2=1e-5)  # noqa: E731, B023
         oof = np.full(len(y), y.mean())
-        for k in range(folds):
-            inside, outside = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-            if len(inside) and len(np.unique(y[outside])) == 2:
-                oof[inside] = linear.softmax(linear.logits(*fit(outside), x.take(inside)))[:, 1]
-        w, b = fit(np.arange(len(y)))
-        models.append({"name": c, "never": False, "w": (w[:, 1] - w[:, 0]).astype(np.float32), "b": float(b[1] - b[0]), "cut": _best_cut(oof, y)})
+        for k, (p, w, b) in _fits(spark, x, y, fold, folds, width).items():
+            if k < folds:
+                oof[fold == k] = p
+            else:
+                models.append({"name": c, "never": False, "w": w, "b": b})
+        models[-1]["cut"] = _best_cut(oof, y)
         x = x.with_column(width, _logit(oof))
         width += 1
     return models
 
 
+def fit(x: linear.Rows, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of the log odds of y."""
+    w, b = linear.train(x, y, width, 2, epochs=EPOCHS, batch=32, alpha=0.3, l1=1e-4, l2=1e-5)
+    return (w[:, 1] - w[:, 0]).astype(np.float32), float(b[1] - b[0])
+
+
+def probabilities(x: linear.Rows, w: np.ndarray, b: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(linear.logits(w[:, None].astype(np.float64), np.array([b]), x)[:, 0], -500, 500)))
+
+
+def _fits(spark, x: linear.Rows, y: np.ndarray, fold: np.ndarray, folds: int, width: int) -> dict:
+    """k -> (probabilities of fold k by a fit on the others, or their share of ones where that has one value only);
+    folds -> (none, weights and bias of a fit on all rows). A task each."""
+    got = spark.sparkContext.broadcast((x, y, fold))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y, fold = got.value
+        for f in frames:
+            for k in f["id"].tolist():
+                inside, outside = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+                if not len(inside) and k < folds or len(np.unique(y[outside])) < 2:
+                    yield pd.DataFrame({"k": [k], "p": [np.full(len(inside), y.mean()).tobytes()], "cols": [b""], "w": [b""], "b": [0.0]})
+                    continue
+                w, b = fit(x.take(outside), y[outside], width)
+                at = np.flatnonzero(w) if k == folds else np.empty(0, np.int64)
+                yield pd.DataFrame({"k": [k], "p": [probabilities(x.take(inside), w, b).tobytes()], "cols": [at.tobytes()], "w": [w[at].tobytes()], "b": [b]})
+
+    out = {}
+    for r in spark.range(0, folds + 1, 1, folds + 1).mapInPandas(run, "k long, p binary, cols binary, w binary, b double").collect():
+        w = np.zeros(width, np.float32)
+        w[np.frombuffer(r["cols"], np.int64)] = np.frombuffer(r["w"], np.float32)
+        out[r["k"]] = np.frombuffer(r["p"], np.float64), w, r["b"]
+    return dict(sorted(out.items()))
+
+
 def apply_chain(text: str | None, models: list[dict]) -> list[float]:
     cols, vals = features(text)
     earlier: list[float] = []
