@@ -2,8 +2,8 @@
 
 N-grams of 1 to 3 characters of the lowered text (words padded by one space, digits and other
 non-letters skipped) are hashed to BUCKETS columns. Document frequencies come from every training
-document; the classifier is fitted on at most PER_LANG documents of each language, picked by a hash
-of the id; a fifth of those is kept apart for the temperature.
+document; the classifier is fitted on about PER_LANG documents of each language at most, picked by a
+hash of id and text, repeated rows once; a fifth of those is kept apart for the temperature.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from . import linear
 from .common import batches, id_fraction, map_texts
 
 BUCKETS = 1 << 15
-#: Labelled documents a language the classifier is fitted on; languages a model holds.
-PER_LANG, MOST_LANGS = 1000, 500
+#: Labelled documents a language the classifier is fitted on (and all languages, by the memory of a driver); languages
+#: a model holds, by the same.
+PER_LANG, IN_ALL, MOST_LANGS = 1000, 100_000, 1000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}")
 _GAPS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -83,7 +84,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, seed: str = "langid") -> dict:
-    """docs(doc_id, text, lang), lang not null -> model: langs, idf, weights, bias, temperature."""
+    """docs(doc_id, text, lang), lang not null -> model: langs, idf, weights, bias, temperature.
+
+    Document frequencies are those of all rows. Rows without letters (null and empty texts too) fit nothing, rows
+    that repeat id, text and lang fit once; null ids are ids like any other. Without rows the model has no language.
+    Over MOST_LANGS languages raise ValueError.
+    """
     batches(docs.sparkSession)
     n_of = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS + 1).collect()}
     if len(n_of) > MOST_LANGS:
@@ -93,21 +99,24 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, seed: str = "langid") -> di
         return {"langs": []}
     df, n = document_frequencies(docs.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n_of[lang]))).otherwise(share)
-    picked = docs.where(id_fraction(F.col("doc_id"), seed) < share).select("doc_id", "text", "lang")
+    most = min(per_lang, IN_ALL // len(langs))
+    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, most / n_of[lang])))])[F.col("lang")]
+    mixed = F.struct(F.col("doc_id"), F.col("text"))
+    picked = docs.where(id_fraction(mixed, seed) < share).select("doc_id", "text", "lang")
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             g = [grams(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "cols": [c.astype(np.uint16).tobytes() for c, _ in g], "n": [np.minimum(k, 65535).astype(np.uint16).tobytes() for _, k in g]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "cols": [c.astype(np.uint16).tobytes() for c, _ in g], "n": [k.astype(np.uint32).tobytes() for _, k in g]})
 
-    rows = picked.mapInPandas(features, "doc_id long, lang string, cols binary, n binary").toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
+    # Rows of the same hash are the same row; the limit holds whatever the hashes do.
+    order = F.xxhash64(F.lit(seed), "doc_id", "cols", "n")
+    found = picked.mapInPandas(features, "doc_id long, lang string, cols binary, n binary").dropDuplicates()
+    rows = found.orderBy(order, "lang", "doc_id").limit(2 * most * len(langs)).toPandas()
     parts = []
     for c, k in zip(rows["cols"], rows["n"]):
         cols = np.frombuffer(c, np.uint16).astype(np.int64)
-        parts.append((cols, weigh(cols, np.frombuffer(k, np.uint16).astype(np.float64), idf)))
+        parts.append((cols, weigh(cols, np.frombuffer(k, np.uint32).astype(np.float64), idf)))
     some = np.array([len(c) > 0 for c, _ in parts], bool)
     x, y = linear.rows_of([p for p, s in zip(parts, some) if s]), rows["lang"][some].map({v: i for i, v in enumerate(langs)}).to_numpy(np.int64)
     held = np.arange(len(x)) % 5 == 4

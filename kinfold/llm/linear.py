@@ -57,7 +57,7 @@ def softmax(s: np.ndarray) -> np.ndarray:
 
 def train(x: Rows, y: np.ndarray, columns: int, classes: int, *, epochs: int = 4, batch: int = 64, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Weights (columns, classes) and biases. l1 and l2 are for one example; the sums grow with those seen."""
-    z, n, w = np.zeros((columns, classes)), np.zeros((columns, classes)), np.zeros((columns, classes))
+    z, n, w = (np.zeros((columns, classes), np.float32 if columns * classes > 1 << 22 else np.float64) for _ in range(3))
     bias, bias_n = np.zeros(classes), np.zeros(classes)
     rng, seen = np.random.default_rng(seed), 0
     for _ in range(epochs):
@@ -84,17 +84,25 @@ def train(x: Rows, y: np.ndarray, columns: int, classes: int, *, epochs: int = 4
 
 
 def temperature(s: np.ndarray, y: np.ndarray) -> float:
-    """The T > 0 that gives softmax(s / T) the smallest log loss on y, by golden-section search over log T."""
-    if not len(y):
+    """The T > 0 that gives softmax(s / T) the smallest log loss on y, by golden-section search over log T.
+
+    Targets are smoothed as in Platt scaling (1999): the true class counts (n + 1) / (n + 2), the others share the
+    rest. So a model without errors on y gets a finite T that grows with what y can show, not the end of the range.
+    """
+    n, k = s.shape
+    if not n or k < 2:
         return 1.0
+    miss = 1 / (n + 2)
 
     def loss(log_t: float) -> float:
         t = s / np.exp(log_t)
-        m = t.max(1)
-        return float((m + np.log(np.exp(t - m[:, None]).sum(1)) - t[np.arange(len(y)), y]).mean())
+        t = t - t.max(1, keepdims=True)
+        p = t - np.log(np.exp(t).sum(1, keepdims=True))
+        own = p[np.arange(n), y]
+        return float(-((1 - miss) * own + miss / (k - 1) * (p.sum(1) - own)).mean())
 
-    a, b, r = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
-    for _ in range(40):
+    a, b, r = np.log(1e-3), np.log(1e3), (5**0.5 - 1) / 2
+    for _ in range(50):
         c, d = b - r * (b - a), a + r * (b - a)
         a, b = (a, d) if loss(c) <= loss(d) else (c, b)
     return float(np.exp((a + b) / 2))
