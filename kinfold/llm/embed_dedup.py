@@ -18,13 +18,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import batches, materialize
 from .components import connected_components
 from .simhash import _forest
 
-#: Vectors the codebooks are fitted on at most; code words of a half at most; members a cell aims at.
-SAMPLE, MAX_WORDS, CELL = 8192, 1024, 64
+#: Vectors the codebooks are fitted on, where they have under an eighth as many words; code words of a half at most
+#: (as many as such a sample can tell apart); members a cell aims at. Beyond some 10^9 vectors cells grow with the data
+#: and are cut into blocks: results stay the same, only the work grows faster.
+SAMPLE, MAX_WORDS, CELL = 8192, 4096, 64
 BLOCK = 1024
 MET = "rep long, n long, to long"
 
@@ -82,6 +85,11 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return w
 
 
+def words_for(count: int) -> int:
+    """Code words of a half, a power of two, so that cells of `count` vectors hold about CELL."""
+    return int(min(MAX_WORDS, 2 ** max(0, round(np.log2(max(1.0, count / CELL)) / 2))))
+
+
 def fit(sample: np.ndarray, count: int, threshold: float, recall: float, seed: int = 7) -> MultiIndex:
     """Codebooks sized for `count` vectors, and the margin for `recall` of neighbours at cosine `threshold`.
 
@@ -91,54 +99,56 @@ def fit(sample: np.ndarray, count: int, threshold: float, recall: float, seed: i
     rng = np.random.default_rng(seed)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     h = max(1, unit.shape[1] // 2)
-    k = int(min(MAX_WORDS, len(unit), 2 ** max(0, round(np.log2(max(1.0, count / CELL)) / 2))))
+    k = min(len(unit), words_for(count))
     index = MultiIndex((_kmeans(unit[:, :h], k, rng), _kmeans(unit[:, h:], k, rng)), 0.0)
     noise = rng.standard_normal(unit.shape)
     noise -= (noise * unit).sum(1, keepdims=True) * unit
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
-    pairs = [(unit, threshold * unit + np.sqrt(1 - threshold**2) * noise)]
-    own = [np.argwhere(np.triu(unit[i : i + 512] @ unit.T, i + 1) >= threshold)[:2000] + [i, 0] for i in range(0, len(unit), 512)]
-    if len(own := np.concatenate(own)):
-        pairs.append((unit[own[:, 0]], unit[own[:, 1]]))
-    for x, y in pairs:
-        (a, b), cell = index.distances(x), index.cells(y)
-        r = np.arange(len(x))
-        over = a[r, cell // k] + b[r, cell % k] - a.min(1) - b.min(1)
-        index.margin = max(index.margin, float(np.quantile(over, recall)) + 1e-12)
+    (a, b), own, made = index.distances(unit), index.cells(unit), index.cells(threshold * unit + np.sqrt(1 - threshold**2) * noise)
+    least = a.min(1) + b.min(1)
+    over = lambda i, cell: a[i, cell // k] + b[i, cell % k] - least[i]
+    links = []
+    for i in range(0, len(unit), 256):
+        x, y = np.nonzero(np.triu(unit[i : i + 256] @ unit.T, i + 1) >= threshold)
+        links.append(over(x + i, own[y]).astype(np.float32))
+    for far in (over(np.arange(len(unit)), made), np.concatenate(links)):
+        if len(far):
+            index.margin = max(index.margin, float(np.quantile(far, recall)) + 1e-6)
     return index
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.stack(col.to_numpy()).astype(np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Scaled first: squares of very small or large components would under- or overflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
 
+def _probe(index, kind: str):
+    """Vectors travel as they are stored (kind), half the bytes of doubles for floats, and lose nothing."""
 
-def _probe(index):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
-            x = _matrix(f["embedding"])
-            # Scaled first: squares of very small or large components would under- or overflow.
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            raw, home = [v.tobytes() for v in x], index.value.cells(x)
-            yield pd.DataFrame({"cell": home, "visitor": False, "rep": f["rep"], "mult": f["mult"], "unit": raw})
+            x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
+            raw, x = [v.tobytes() for v in x.astype(kind)], _unit(x)
+            yield pd.DataFrame({"cell": index.value.cells(x), "visitor": False, "rep": f["rep"], "mult": f["mult"], "raw": raw})
             lists = list(index.value.walk(x))
             n = [len(c) for c in lists]
             at = np.repeat(np.arange(len(f)), n)
             for i in range(0, len(at), 8192):
                 j = at[i : i + 8192]
                 cells = np.concatenate(lists)[i : i + 8192].astype(np.int64)
-                yield pd.DataFrame({"cell": cells, "visitor": True, "rep": f["rep"].to_numpy()[j], "mult": f["mult"].to_numpy()[j], "unit": [raw[t] for t in j]})
+                yield pd.DataFrame({"cell": cells, "visitor": True, "rep": f["rep"].to_numpy()[j], "mult": f["mult"].to_numpy()[j], "raw": [raw[t] for t in j]})
 
     return run
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, kind: str):
     """Rows sorted by (cell, hb, vb, visitor): counts of links and edges of a spanning forest, for each block."""
 
     def solve(homes: list, visitors: list) -> pd.DataFrame | None:
-        unit = lambda rows: np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1)
+        unit = lambda rows: _unit(np.frombuffer(b"".join(r[2] for r in rows), kind).reshape(len(rows), -1).astype(np.float64))
         hr, hm = (np.array([r[i] for r in homes], np.int64) for i in (0, 1))
         vr, vm = (np.array([r[i] for r in visitors], np.int64) for i in (0, 1))
         hit = (unit(visitors) @ unit(homes).T >= threshold) & (vr[:, None] < hr[None, :])
@@ -172,22 +182,23 @@ def _verify(threshold: float):
     return run
 
 
-def _met(groups: DataFrame, n: int, threshold: float, recall: float, sample: int) -> DataFrame:
+def _met(groups: DataFrame, n: int, threshold: float, recall: float, sample: int, kind: str) -> DataFrame:
     """n groups(rep, mult, embedding) of one length -> counts of links and edges of forests (MET)."""
     spark = groups.sparkSession
+    sample = max(sample, 8 * words_for(n))
     picked = groups.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toPandas()["embedding"].to_list()
     x = np.array(picked, np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     index = spark.sparkContext.broadcast(fit(x, n, threshold, recall))
-    found = materialize(groups.select("rep", "mult", "embedding").mapInPandas(_probe(index), "cell long, visitor boolean, rep long, mult long, unit binary"), "visits")
+    found = materialize(groups.select("rep", "mult", "embedding").mapInPandas(_probe(index, kind), "cell long, visitor boolean, rep long, mult long, raw binary"), "visits")
     sizes = found.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("n_h"), F.count_if("visitor").alias("n_v"))
     crowded = materialize(sizes.where((F.col("n_h") > 0) & (F.greatest("n_h", "n_v") > BLOCK)).select("cell", F.ceil(F.col("n_h") / BLOCK).cast("int").alias("n_hb"), F.ceil(F.col("n_v") / BLOCK).cast("int").alias("n_vb")), "crowded", 0)
     r = found.join(crowded, "cell", "left").fillna(1, ["n_hb", "n_vb"])
     r = r.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("visitor"), F.col("n_vb")).otherwise(F.col("n_hb"))).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("n_hb")).otherwise(F.col("n_vb")) - 1)))
-    r = r.select("cell", F.when(F.col("visitor"), F.col("other")).otherwise(F.col("own")).alias("hb"), F.when(F.col("visitor"), F.col("own")).otherwise(F.col("other")).alias("vb"), "visitor", "rep", "mult", "unit")
+    r = r.select("cell", F.when(F.col("visitor"), F.col("other")).otherwise(F.col("own")).alias("hb"), F.when(F.col("visitor"), F.col("own")).otherwise(F.col("other")).alias("vb"), "visitor", "rep", "mult", "raw")
     keys = ["cell", "hb", "vb"]
-    return materialize(r.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInPandas(_verify(threshold), MET), "met", 2 * n)
+    return materialize(r.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInPandas(_verify(threshold, kind), MET), "met", 2 * n)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.995, sample: int = SAMPLE) -> DataFrame:
@@ -202,6 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     """
     spark = vectors.sparkSession
     batches(spark)
+    kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
     e = F.col("embedding")
     good = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).withColumn("vkey", F.when(good & F.col("vec_id").isNotNull(), F.md5(e.cast("string"))))
@@ -214,7 +226,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     met = spark.createDataFrame([], MET)
     for d, n in sorted(sizes.items()):
         if n > 1:
-            met = met.unionByName(_met(groups.where(F.size("embedding") == d), n, threshold, recall, sample))
+            met = met.unionByName(_met(groups.where(F.size("embedding") == d), n, threshold, recall, sample, kind))
     n = sum(sizes.values())
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     moved = connected_components(met.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), n)
