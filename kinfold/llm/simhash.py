@@ -9,8 +9,9 @@ its own cell of every group and visits the neighbouring cells within the radius.
 visitors meet residents and the exact distance decides.
 
 Equal fingerprints are collapsed first. Cells with many residents are cut into blocks, which are
-compared pair by pair of blocks, and each block reports a spanning forest of its links, never all
-pairs; memory is bounded by the block size.
+compared pair by pair of blocks: the Manhattan distance of a pair is computed first, and only what it
+lets through is checked by the Hamming distance. Each block reports a spanning forest of its links,
+never all pairs; memory is bounded by the block size.
 """
 
 from __future__ import annotations
@@ -113,6 +114,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[tail], ids[lab[tail]]
 
 
+def _steps(fp: np.ndarray) -> np.ndarray:
+    """The two-bit counts written as 00, 01, 11: so many bits differ as the counts of two fingerprints lie apart."""
+    a, b = fp & np.uint64(LOW), (fp >> np.uint64(1)) & np.uint64(LOW)
+    return (a | b) | ((a & b) << np.uint64(1))
+
+
 def _links(distance: int):
     """Partition function over rows sorted by (g, cell, hb, vb, visitor)."""
 
@@ -124,13 +131,14 @@ def _links(distance: int):
         vis = np.flatnonzero(f["visitor"] & (residents[group] > 0))
         per = residents[group[vis]]
         cum = np.concatenate(([0], np.cumsum(per)))
-        i = 0
+        steps, i = _steps(f["fp"]), 0
         while i < len(vis):
             j = max(i + 1, int(np.searchsorted(cum, cum[i] + PAIRS, "right")) - 1)
             left = np.repeat(vis[i:j], per[i:j])
             right = np.repeat(starts[group[vis[i:j]]] - (cum[i:j] - cum[i]), per[i:j]) + np.arange(cum[j] - cum[i])
-            d = np.bitwise_count(f["fp"][left] ^ f["fp"][right])
-            hit = (d <= distance) & (f["rep"][left] != f["rep"][right])
+            near = np.flatnonzero(np.bitwise_count(steps[left] ^ steps[right]) <= distance)
+            left, right = left[near], right[near]
+            hit = (np.bitwise_count(f["fp"][left] ^ f["fp"][right]) <= distance) & (f["rep"][left] != f["rep"][right])
             if hit.any():
                 out.append(_forest(f["rep"][left[hit]], f["rep"][right[hit]]))
             i = j
@@ -169,6 +177,8 @@ def links(groups: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """groups(fp, rep), fp distinct -> edges (a, b) of reps that connect all fingerprints within the distance."""
     if not 1 <= distance <= 31:
         raise ValueError("distance must lie in 1..31")
+    # Each row becomes some twenty: dealt anew, as few files hold them all.
+    groups = groups.select("fp", "rep").repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     counts = _popcounts(F.col("fp"))
     home, visit = _cells(counts, distance)
     homes = groups.select("fp", "rep", F.explode(F.array(*home)).alias("c")).select("fp", "rep", "c.g", "c.cell")
