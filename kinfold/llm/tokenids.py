@@ -193,9 +193,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, shard: int = SHARD, end:
             yield close()
 
     made = materialize(ordered.mapInArrow(run, "path string, part long, place long, n_tokens long"), "shards")
-    # One row a shard: few enough for one task, whatever the corpus.
-    before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(made.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "manifest")
+    # The parts are summed up in order, then the shards of each part: no task sees all shards.
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = made.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
+    parts = parts.select("part", before(Window.orderBy("part")).alias("first"))
+    placed = made.withColumn("start", before(Window.partitionBy("part").orderBy("place")))
+    return materialize(placed.join(parts, "part").select("path", "part", "place", "n_tokens", (F.col("first") + F.col("start")).alias("start")), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
