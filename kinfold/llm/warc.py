@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import batches, delete, materialize, scratch
+from .common import batches, materialize, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range; read at once; of a member's start that its WARC header must begin in.
@@ -240,10 +240,10 @@ def read(archives: DataFrame, split: int = SPLIT, payloads: bool = True) -> Data
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, split: int = SPLIT, least: int = LEAST) -> DataFrame:
-    """Write pages as archives, then read them back."""
-    folder = folder or scratch(pages.sparkSession, "warc")
-    return read(write(pages, folder, least), split, payloads=False)
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    delete(spark, folder)
+    """Write pages as archives, then read them back. ValueError if not every record came back."""
+    archives = write(pages, folder or scratch(pages.sparkSession, "warc"), least)
+    got = materialize(read(archives, split, payloads=False), "records")
+    n, written = got.count(), archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if n != written:
+        raise ValueError(f"{n} of {written} records could be read back")
+    return got
