@@ -36,8 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under this application's own."""
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application's operators left in the shared folder. Results are read from there, so
+    a job calls this once it has written what it wants to keep."""
+    delete(spark, _home(spark))
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

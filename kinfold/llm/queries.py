@@ -93,12 +93,12 @@ FROM met JOIN sizes USING (item_id) WHERE shared >= 0.8 * item_shingles
 """
 
 OP3_SQL = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:{mixing.DIGITS}])::BIGINT AS h
   FROM {{documents}}),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
   FROM d GROUP BY source),
 l AS (
@@ -106,14 +106,50 @@ l AS (
   FROM s WINDOW before AS (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, source_size * 2.0::DOUBLE / weight) AS final FROM l WHERE source_size * 2.0::DOUBLE / weight >= level),
 t AS (
-  SELECT source, source_size, CASE WHEN coalesce(source_size * 2.0::DOUBLE / weight < final, true) THEN source_size * 2.0::DOUBLE ELSE final * weight END AS target,
+  SELECT source, source_size, n_rows, CASE WHEN coalesce(source_size * 2.0::DOUBLE / weight < final, true) THEN source_size * 2.0::DOUBLE ELSE final * weight END AS target,
     ('0x' || md5('{mixing.SEED}:offset:' || coalesce(source, ''))[1:{mixing.DIGITS}])::BIGINT / {float(16**mixing.DIGITS)}::DOUBLE AS u
   FROM l, f),
+r AS (
+  SELECT doc_id, size, h, t.*, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+big AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, h, doc_id NULLS FIRST) AS k FROM r WHERE size * {mixing.LARGE} > source_size),
+walk AS (
+  SELECT source, 0::BIGINT AS k, 0.0::DOUBLE AS owed, 0.0::DOUBLE AS took, 0.0::DOUBLE AS n FROM t
+  UNION ALL
+  SELECT walk.source, walk.k + 1, walk.owed + b.size * b.r,
+    walk.took + b.size * greatest(floor(b.r), least(ceil(b.r), floor((walk.owed + b.size * b.r - walk.took) / b.size + b.u))),
+    greatest(floor(b.r), least(ceil(b.r), floor((walk.owed + b.size * b.r - walk.took) / b.size + b.u)))
+  FROM walk JOIN big b ON walk.source IS NOT DISTINCT FROM b.source AND b.k = walk.k + 1),
+took AS (SELECT source, arg_max(took, k) AS took FROM walk GROUP BY source),
+held AS (SELECT source, sum(size)::BIGINT AS words FROM big GROUP BY source),
 p AS (
-  SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio,
-    row_number() OVER (PARTITION BY d.source ORDER BY h % {mixing.STRATA}, CASE WHEN h % {mixing.STRATA} % 2 = 0 THEN size ELSE -size END, h, doc_id NULLS FIRST) AS place
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT doc_id, size, r.source_size, r.target, u, CASE WHEN r.source_size > coalesce(words, 0)
+      THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, (r.target - took) / (r.source_size - coalesce(words, 0)))) ELSE 0.0::DOUBLE END AS ratio,
+    row_number() OVER (PARTITION BY r.source ORDER BY h % strata, CASE WHEN h % strata % 2 = 0 THEN size ELSE -size END, h, doc_id NULLS FIRST) AS place
+  FROM (SELECT *, least({mixing.STRATA}, 1 + n_rows // {mixing.STRATUM_ROWS}) AS strata FROM r WHERE size * {mixing.LARGE} <= source_size) r
+  JOIN took ON r.source IS NOT DISTINCT FROM took.source LEFT JOIN held ON r.source IS NOT DISTINCT FROM held.source)
 SELECT doc_id, size, source_size, target, (size * (floor(u + place * ratio) - floor(u + (place - 1) * ratio)))::BIGINT AS taken FROM p
+UNION ALL
+SELECT doc_id, size, source_size, target, (size * n)::BIGINT FROM big JOIN walk ON big.source IS NOT DISTINCT FROM walk.source AND big.k = walk.k
+"""
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM {embeddings}),
+g AS (
+  SELECT r, vec_id, len(e) AS d, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM g),
+links AS (SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM n a JOIN n b ON a.d = b.d AND a.r <> b.r WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (
+  SELECT r, r AS at, vec_id AS id FROM v
+  UNION
+  SELECT reach.r, links.b, links.other FROM reach JOIN links ON reach.at = links.a),
+c AS (SELECT r, min(id) AS component_id FROM reach GROUP BY r),
+k AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v JOIN c USING (r) LEFT JOIN k USING (r)
 """
 
 OP6_SQL = """
@@ -144,6 +180,7 @@ SELECT conv_id, n_turns, text FROM c JOIN u USING (conv_id) WHERE u.ms NOT IN (S
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL.format(documents="documents", benchmark="benchmark"),
     "op3_mix": OP3_SQL.format(documents="documents"),
+    "op5_embedding_dedup": OP5_SQL.format(embeddings="embeddings"),
     "op6_warc": OP6_SQL.format(pages="pages"),
     "op10_chat": OP10_SQL.format(conversations="conversations"),
 }

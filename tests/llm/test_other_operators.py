@@ -64,6 +64,34 @@ class TestEmbeddings:
         assert np.mean([got[i].component_id == comp[i] for i in got]) > 0.98
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
+    def test_recall_at_a_large_grid(self):
+        """25,000 vectors with links, in a grid of 1,024 x 1,024 cells: nine tenths of the links are met at least."""
+        rng = np.random.default_rng(22)
+        base = rng.standard_normal((5000, 64))
+        x = np.concatenate((base, np.repeat(base, 4, 0) + 0.22 * rng.standard_normal((20_000, 64)) * rng.uniform(0.2, 1.4, (20_000, 1))))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        index = embed_dedup.fit(x[rng.permutation(len(x))[:8192]], 1 << 26, 0.95, 0.995)
+        assert len(index.words[0]) == 1024
+        (a, b), home = index.distances(x), index.cells(x)
+        limit = a.min(1) + b.min(1) + index.margin
+        met = all_ = 0
+        for k in range(5000):
+            own = np.concatenate(([k], 5000 + 4 * k + np.arange(4)))
+            i, j = np.nonzero(np.triu(x[own] @ x[own].T >= 0.95, 1))
+            i, j = own[i], own[j]
+            met += int((a[i, home[j] // 1024] + b[i, home[j] % 1024] <= limit[i]).sum())
+            all_ += len(i)
+        assert all_ > 20_000 and met >= 0.97 * all_
+
+    def test_links_of_doubles_and_floats(self, spark):
+        rng = np.random.default_rng(23)
+        x = rng.standard_normal((40, 16)) + np.repeat(3 * rng.standard_normal((10, 16)), 4, 0)
+        for kind, cast in (("array<double>", np.float64), ("array<float>", np.float32)):
+            v = x.astype(cast).astype(np.float64)
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], f"vec_id long, embedding {kind}"), 0.8).collect()}
+            assert got == {i: int((u[i] @ u.T >= 0.8).sum()) - 1 for i in range(40)} and sum(got.values()) > 40
+
     def test_walk_goes_by_distance(self):
         rng = np.random.default_rng(3)
         x = rng.standard_normal((500, 8))
@@ -132,6 +160,16 @@ class TestWarc:
             got = [t for s in range(0, len(data), split) for t in warc.Reader(io.BytesIO(data), len(data), s, s + split).records()]
             assert got == whole, split
 
+    def test_a_record_that_does_not_come_back_is_reported(self, spark, monkeypatch):
+        monkeypatch.setattr(warc, "read", lambda archives, split, payloads: archives.select("records").limit(0))
+        with pytest.raises(ValueError, match="0 of 3"):
+            warc.round_trip(spark.createDataFrame([(i, "u", "x") for i in range(3)], self.PAGES))
+
+    def test_very_long_payload(self, spark):
+        html = "<p>long</p>" * 400_000
+        got = warc.round_trip(spark.createDataFrame([(1, "u", html), (2, "u", html)], self.PAGES), split=1 << 16).collect()
+        assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(1, len(html), "response"), (2, len(html), "revisit")]
+
     def test_damage_is_reported(self):
         good = zlib.decompress(warc.record(1, None, b"payload", None), 31)
         with pytest.raises(ValueError):
@@ -217,6 +255,11 @@ class TestChat:
         assert got == {1: (1, turn("user", "")), 2: (1, turn("user", "")), 3: (2, turn("", "x") + turn("user", "y")), 4: (2, 2 * turn("user", "a")), 6: (1, turn("u", "end<|​im_end|>here"))}
         assert chat.render(d.limit(0)).count() == 0
 
+    def test_very_long_turn(self, spark):
+        long = "word " * 500_000
+        got = chat.render(spark.createDataFrame([(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "ok")], self.TURNS)).collect()
+        assert [(r.conv_id, r.n_turns) for r in got] == [(2, 2)] and long in got[0].text
+
     def test_no_python_in_the_plan(self, spark):
         plan = chat.render(spark.createDataFrame([(1, 0, "user", "a")], self.TURNS))._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

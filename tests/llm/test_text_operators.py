@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and their edge cases."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -74,21 +75,32 @@ class TestSimHash:
         near = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 9), replace=False)) for x in np.repeat(f, 4)]
         all_ = sorted({int(x) for x in f} | set(near))
         groups = spark.createDataFrame([(x - 2**64 if x >> 63 else x, i) for i, x in enumerate(all_)], "fp long, rep long")
-        e = [(r.a, r.b) for r in simhash.links(groups, distance).collect()]
-        assert all((all_[a] ^ all_[b]).bit_count() <= 2**6 for a, b in e)
-        comp = list(range(len(all_)))
-
-        def find(x):
-            while comp[x] != x:
-                x = comp[x]
-            return x
-
-        for a, b in e:
-            comp[max(find(a), find(b))] = min(find(a), find(b))
-        for i in range(len(all_)):
+
+        def components(edges):
+            comp = list(range(len(all_)))
+
+            def find(x):
+                while comp[x] != x:
+                    x = comp[x]
+                return x
+
+            for a, b in edges:
+                comp[max(find(a), find(b))] = min(find(a), find(b))
+            return [find(i) for i in range(len(all_))]
+
+        near = [(i, j) for i in range(len(all_)) for j in range(i) if (all_[i] ^ all_[j]).bit_count() <= distance]
+        # As many groups as links within the distance make: none missed, none too many.
+        assert components([(r.a, r.b) for r in simhash.links(groups, distance).collect()]) == components(near)
+
+    def test_steps_give_the_manhattan_distance_of_popcounts(self):
+        rng = np.random.default_rng(14)
+        f = rng.integers(0, 2**63, 200, dtype=np.uint64)
+        counts = [[(int(x) >> 2 * i & 1) + (int(x) >> 2 * i + 1 & 1) for i in range(32)] for x in f]
+        steps = simhash._steps(f)
+        for i in range(0, 200, 7):
             for j in range(i):
-                if (all_[i] ^ all_[j]).bit_count() <= distance:
-                    assert find(i) == find(j)
+                d = sum(abs(a - b) for a, b in zip(counts[i], counts[j]))
+                assert int(np.bitwise_count(steps[i] ^ steps[j])) == d <= int(np.bitwise_count(f[i] ^ f[j]))
 
     def test_crowded_cells_in_blocks(self, spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", 3)
@@ -163,11 +175,31 @@ class TestDecontamination:
         assert sorted(r.doc_id or -1 for r in decontaminate.clean(odd(spark), items).collect()) == [-1, 1, 2, 3, 6, 2**60 + 1]
         assert decontaminate.contaminated(odd(spark).limit(0), items).count() == decontaminate.contaminated(odd(spark), items.limit(0)).count() == 0
 
-    def test_bins_of_a_class_keep_the_chance_of_a_miss(self):
-        for size_class in (3, 10, 20):
-            for fewest in (1, 5, 40):
-                bits, need = decontaminate.bin_bits(size_class, fewest, 0.8), max(1, np.ceil(0.8 * fewest))
-                assert (2.0 ** (size_class + 1) / 2.0**bits) ** need <= decontaminate.MISS or bits == 63
+    def test_sketches_are_small_and_miss_as_rarely_as_they_say(self):
+        rng = np.random.default_rng(12)
+        met = dict.fromkeys((24, 60, 200), 0)
+        for q in met:
+            for trial in range(300):
+                u = int(rng.integers(3000, 12_000))
+                item = rng.integers(0, 2**63, q, dtype=np.uint64) * np.uint64(2)
+                doc = np.unique(np.concatenate((item[: int(np.ceil(0.8 * q))], rng.integers(0, 2**63, u, dtype=np.uint64) * np.uint64(2))))
+                n = decontaminate.bins(decontaminate.size_class(len(doc)), decontaminate.size_class(q), 0.8)
+                mine, its = decontaminate.minima(doc, n), decontaminate.minima(np.sort(item), n)
+                assert n != decontaminate.ALL and len(mine) < {24: 0.6, 60: 0.35, 200: 0.1}[q] * len(doc)
+                met[q] += bool(np.isin(its, mine).any())
+        assert min(met.values()) >= 299
+        assert decontaminate.bins(20, decontaminate.size_class(4), 0.8) == decontaminate.ALL
+        assert decontaminate.jaccard_floor(200, 10_000, 0.8) == pytest.approx(160 / 10_040)
+
+    def test_waves_of_blocks(self, spark, monkeypatch):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+        monkeypatch.setattr(decontaminate, "WAVE", 2)
+        rng = random.Random(13)
+        items = [(i, some_words(rng, rng.choice([3, 8, 20]))) for i in range(20)]
+        rows = [(i, some_words(rng, 30) + " " + t) for i, t in items] + [(100 + i, some_words(rng, 25)) for i in range(5)]
+        d, it = docs(spark, [(i, t, None, None) for i, t in rows]), spark.createDataFrame(items, self.ITEMS)
+        assert {(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in decontaminate.contaminated(d, it).collect()} == self.brute(rows, items)
+        assert {r.doc_id for r in decontaminate.clean(d, it).collect()} == {100 + i for i in range(5)}
 
     def test_clean_decides_by_row(self, spark):
         items = spark.createDataFrame([(1, "one two three four five six")], self.ITEMS)
@@ -205,6 +237,21 @@ class TestMixing:
         again = mixing.copies(docs(spark, rows).repartition(7)).collect()
         assert sorted(map(tuple, again), key=str) == sorted(map(tuple, out), key=str)
 
+    def test_few_documents_of_very_unequal_size(self, spark):
+        rng = random.Random(21)
+        for spread in (1.0, 1.6):
+            rows = [(i, "w " * min(20_000, int(40 * rng.lognormvariate(0, spread)) + 1), None, f"s{i % 12:02d}") for i in range(600)]
+            out = mixing.copies(docs(spark, rows)).collect()
+            for s in {r.source for r in out}:
+                own = [r for r in out if r.source == s]
+                assert sum(r.size * r.n_copies for r in own) == pytest.approx(own[0].target, rel=0.05)
+                assert all(r.n_copies <= 2 for r in own)
+
+    @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+    def test_targets_of_the_small_table(self, spark):
+        out = mixing.copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source").agg(F.sum(F.col("size") * F.col("n_copies")).alias("taken"), F.first("target").alias("target")).collect()
+        assert len(out) == 20 and all(abs(r.taken / r.target - 1) < 0.02 for r in out)
+
     def test_mix_repeats_rows_as_counted(self, spark):
         rng = random.Random(5)
         d = docs(spark, [(i, some_words(rng, rng.randrange(40)), None, rng.choice("xyz")) for i in range(200)])
@@ -245,6 +292,68 @@ class TestToxicity:
         assert all(0 <= r.p_rude <= 1 for r in held)
         assert sum(r.is_rude == (r.doc_id % 7 == 0) for r in held) >= 188 and sum(r.is_junk == (r.doc_id % 5 == 0) for r in held) >= 188
 
+    def test_against_a_dense_chain(self, spark):
+        """The chain as its definition says, on dense arrays: FTRL steps, folds, out-of-fold inputs, cuts."""
+        d, labels = self.data(spark, 60)
+        models = toxicity.train(d, labels, ["junk", "rude"])
+        text = {r.doc_id: r.text for r in d.collect()}
+        lab = {r.doc_id: (r.junk, r.rude) for r in labels.collect()}
+        ids = sorted(lab)
+        used = sorted({int(c) for i in ids for c in toxicity.features(text[i])[0]})
+        place = {c: k for k, c in enumerate(used)}
+        x = np.zeros((len(ids), len(used)))
+        for k, i in enumerate(ids):
+            cols, vals = toxicity.features(text[i])
+            x[k, [place[c] for c in cols.tolist()]] = vals.astype(np.float32)
+
+        def ftrl(x, y, alpha=0.3, beta=1.0, l1=1e-4, l2=1e-5):
+            z, n, w = (np.zeros((x.shape[1], 2)) for _ in range(3))
+            b, bn, rng, seen = np.zeros(2), np.zeros(2), np.random.default_rng(0), 0
+            for _ in range(toxicity.EPOCHS):
+                order = rng.permutation(len(x))
+                for i in range(0, len(x), 32):
+                    at = order[i : i + 32]
+                    g = linear.softmax(x[at] @ w + b) - np.eye(2)[y[at]]
+                    seen += len(at)
+                    met = (x[at] != 0).any(0)
+                    grad = x[at].T @ g
+                    n1 = n + grad**2
+                    z[met] += (grad - (np.sqrt(n1) - np.sqrt(n)) / alpha * w)[met]
+                    n[met] = n1[met]
+                    new = np.where(abs(z) <= l1 * seen, 0, -(z - np.sign(z) * l1 * seen) / ((beta + np.sqrt(n)) / alpha + l2 * seen))
+                    w[met] = new[met]
+                    bn += g.sum(0) ** 2
+                    b -= alpha * g.sum(0) / (beta + np.sqrt(bn))
+            return w[:, 1] - w[:, 0], b[1] - b[0]
+
+        fold, want = np.arange(len(ids)) % toxicity.FOLDS, []
+        for c in range(2):
+            y = np.array([lab[i][c] for i in ids])
+            oof = np.zeros(len(ids))
+            for k in range(toxicity.FOLDS):
+                w, b = ftrl(x[fold != k], y[fold != k])
+                oof[fold == k] = 1 / (1 + np.exp(-(x[fold == k] @ w + b)))
+            w, b = ftrl(x, y)
+            want.append((w, b))
+            assert models[c]["cut"] == pytest.approx(toxicity._best_cut(oof, y), abs=1e-4)
+            x = np.column_stack((x, toxicity._logit(oof)))
+        got = {r.doc_id: r for r in toxicity.score(d, models).collect()}
+        x = x[:, : len(used)]
+        for w, b in want:
+            x = np.column_stack((x, toxicity._logit(1 / (1 + np.exp(-(x @ w + b))))))
+        for k, i in enumerate(ids):
+            for c, name in enumerate(("junk", "rude")):
+                assert got[i][f"p_{name}"] == pytest.approx(1 / (1 + np.exp(-x[k, len(used) + c])), abs=2e-3)
+
+    def test_rows_read_are_bounded(self, spark, monkeypatch):
+        d, labels = self.data(spark, 80)
+        many, seen, rows_of = d.unionByName(d).unionByName(d), [], linear.rows_of
+        monkeypatch.setattr(linear, "rows_of", lambda parts: seen.append(len(parts)) or rows_of(parts))
+        toxicity.train(d, labels, ["rude"], sample=50)
+        toxicity.train(many, labels, ["rude"], sample=50)
+        toxicity.train(many, labels, ["rude"], sample=300)
+        assert seen == [50, 50, 240]
+
     def test_later_models_use_earlier_probabilities(self, spark):
         rng = random.Random(7)
         # The second category is the first one, and its words are drowned by rare ones; only the chain tells.
@@ -295,6 +404,39 @@ class TestLanguage:
         assert {r.lang_pred for r in langid.predict(d, none).collect()} == {"und"}
         assert langid.predict(d.limit(0), model).count() == 0
 
+    def test_against_dense_softmax(self, spark):
+        d = self.data(spark, 90)
+        model = langid.train(d)
+        out = {r.doc_id: r for r in langid.predict(d, model).collect()}
+        for r in d.collect():
+            cols, n = langid.grams(r.text)
+            x = np.zeros(langid.BUCKETS)
+            x[cols] = (1 + np.log(n)) * model["idf"][cols]
+            x /= np.linalg.norm(x)
+            s = (x @ model["weights"].astype(np.float64) + model["bias"]) / model["temperature"]
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            assert out[r.doc_id].lang_pred == model["langs"][int(p.argmax())] and out[r.doc_id].score == pytest.approx(p.max(), abs=1e-6)
+
+    def test_many_languages_and_many_repeats(self, spark):
+        rows = [(i, f"tongue{i % 600} " * 3 + "x" * 70_000 * (i == 0), f"l{i % 600:03d}", None) for i in range(1200)]
+        model = langid.train(docs(spark, rows))
+        assert len(model["langs"]) == 600
+        cols, n = langid.grams(rows[0][1])
+        assert n.max() >= 69_998
+        # All ids null, and each row three times: a row counts once, and no more than the bound.
+        same = [(None, " ".join(random.Random(i).choices(self.STOCK["aa" if i % 2 else "bb"], k=9)), "aa" if i % 2 else "bb", None) for i in range(200)]
+        a, b = langid.train(docs(spark, same), per_lang=1000), langid.train(docs(spark, same * 3), per_lang=1000)
+        assert a["langs"] == b["langs"] == ["aa", "bb"] and np.allclose(a["weights"], b["weights"], atol=0.2)
+        assert len(langid.train(docs(spark, same), per_lang=20)["langs"]) == 2
+
+    def test_temperature_is_finite_without_errors(self):
+        y = np.arange(300) % 3
+        s = 0.1 * np.eye(3)[y]
+        t, few = linear.temperature(s, y), linear.temperature(s[:30], y[:30])
+        assert 1e-3 * 1.5 < t < few < 1
+        p = linear.softmax(s / t).max(1)
+        assert np.allclose(p, 301 / 302, atol=1e-3)
+
     def test_grams_are_those_of_the_whole_text(self, monkeypatch):
         text = "abc déf " * 50
         whole = langid.grams(text)
