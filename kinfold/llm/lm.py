@@ -1,13 +1,21 @@
 """Language-model scores by a log-bilinear model (Mnih and Hinton, 2007) with noise-contrastive estimation.
 
-Outcomes are the HEAD_WORDS most frequent words, the end of a text, and ENDINGS classes of all other
-words by their last two bytes; within such a class a word has its smoothed frequency. The context is
-the word before (as an outcome) and a coarse class of the one before that, so there are few enough
-contexts to compute every normaliser once, by batched matrix products: scores are normalised exactly.
-
-Counts cover all training documents. The neural part starts from a short fit on a bounded sample and
-then takes one pass over every training document: each task trains on its own partition and emits its
-parameters, which are averaged by tokens in two levels (parameter mixing, McDonald et al., 2010).
+Outcomes are the end of a text, the most frequent words, as many as can be broadcast (LOOKUP; all of a small
+corpus), and ENDINGS classes of the other words by their last two bytes; within a class a word has its smoothed
+frequency, so every word counted has a probability, and a word never seen that of its class's one unseen slot.
+The context is the word before: its own embedding and that of its ending, which also speaks for words without one.
+So there are as many contexts as outcomes, and every normaliser is computed once, by batched matrix products:
+scores are normalised exactly.
+
+As in maximum-entropy models that are trained with neural ones (Mikolov et al., 2011), pairs of outcomes that occur
+together have direct connections besides: the most frequent PAIRS of them hold their discounted share of the
+context, and what is left of the context goes by the embeddings.
+
+Counts, of words and of pairs, cover all training documents. The neural part starts from a short fit on whole texts
+of FIRST_TOKENS tokens and then takes one pass over every training document: documents are dealt to groups of about
+GROUP_TOKENS tokens by a hash, each group trains a copy in the order of that hash, and each row of the parameters
+is averaged over the copies that met it, by how often they did (parameter mixing, McDonald et al., 2010). The
+groups depend on the documents alone, so the model does not depend on partitions.
 
 Words beyond a bounded head never reach a driver or a broadcast: they are looked up by a join.
 """
@@ -18,6 +26,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -28,42 +38,57 @@ from pyspark.sql import functions as F
 
 from .common import batches, id_fraction, id_remainder, materialize, words
 
-HEAD_WORDS, ENDINGS, COARSE, DIM = 2047, 256, 16, 24
-#: Words whose counts are broadcast; tokens of the first fit, whose last text is whole; noise words of a minibatch.
-#: AdaGrad: tokens of a minibatch, rate, and the sum of squares it starts from.
-LOOKUP, FIRST_TOKENS, NOISE = 1 << 17, 400_000, 128
-BATCH, RATE, STATE = 2048, 0.1, 1.0
+ENDINGS, DIM = 256, 32
+#: Words whose counts and embeddings are broadcast, pairs with direct connections (some 25 MB), and the discount of these.
+LOOKUP, PAIRS, DISCOUNT = 1 << 17, 1 << 21, 0.75
+#: Tokens of the first fit, whose last text is whole, and of a group of the pass over all documents.
+FIRST_TOKENS, GROUP_TOKENS = 400_000, 8_000_000
+#: Tokens of a minibatch and its noise words; AdaGrad: rate, and the sum of squares it starts from.
+BATCH, NOISE, RATE, STATE = 1024, 256, 0.1, 1.0
 HELD_MODULUS, HELD_REMAINDER = 7, 2
-#: Distinct words a task counts before it passes them on; parts the parameters are averaged in.
-COUNTED, BLOCKS, SALTS = 400_000, 8, 32
-#: The end of a text, as a token: no word is empty.
+#: Distinct words a task counts before it passes them on.
+COUNTED = 400_000
+#: Parts of the parameters and of the pairs; groups whose results a task puts together.
+BLOCKS, BUCKETS, FAN = 16, 256, 64
+#: Codes of pairs a task holds before it counts them; contexts and outcomes of one matrix product.
+CODES, ROWS, COLUMNS = 1 << 21, 512, 1 << 14
+#: The end of a text, as a token: no word is empty. It is outcome 0.
 END = b""
-_OUT = HEAD_WORDS + 1 + ENDINGS
-_BOS = _OUT
 
 
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
-def coarse(word: bytes) -> int:
-    """Class of the word before last; COARSE is kept for none."""
-    return zlib.crc32(word[-2:], 1) % COARSE
-
-
 @dataclass
 class Lookup:
-    """The head of the vocabulary. Outcome i < HEAD_WORDS + 1 is a word (or END), the rest are endings."""
+    """The head of the vocabulary. Outcome i < len(counts) is a word (0: END), the rest are endings; the context after
+    those is the start of a text."""
 
     index: dict[bytes, int]
     counts: np.ndarray
-    outcome: np.ndarray
-    coarse: np.ndarray
+    endings: np.ndarray  # of the words
     unigram: np.ndarray  # of outcomes, in training tokens
-    within: np.ndarray  # log10 of the size of each ending: count + distinct + 1; 0 for words
+    within: np.ndarray  # log10 of the size of each ending: count + distinct + 1
     total: int
     distinct: int
 
+    @property
+    def words(self) -> int:
+        return len(self.counts)
+
+    @property
+    def outcomes(self) -> int:
+        return len(self.counts) + ENDINGS
+
+    def outcomes_of(self, w: list[bytes]) -> np.ndarray:
+        get, n = self.index.get, self.words
+        return np.array([n + ending(x) if (i := get(x)) is None else i for x in w], np.int64)
+
+    def ending_of_contexts(self) -> np.ndarray:
+        """For each context, the ending that it has or is; ENDINGS for the start of a text."""
+        return np.concatenate((self.endings, np.arange(ENDINGS + 1)))
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """docs(text) of training documents -> (word binary, c long), END included once per document."""
@@ -96,51 +121,33 @@ def lookup(counts: DataFrame, limit: int = LOOKUP) -> tuple[Lookup, int]:
         if (room := room - r["n"]) < 0:
             break
         least = r["least"]
-    rows = [(bytes(r["word"]), r["c"]) for r in counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).toLocalIterator()]
+    rows = [(bytes(r["word"]), r["c"]) for r in counts.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).toLocalIterator()]
     rows.sort(key=lambda r: (-r[1], r[0]))
-    named = [w for w, _ in rows if w != END][:HEAD_WORDS]
-    place = {w: i for i, w in enumerate([END, *named])}
-    head = {w: i for i, (w, _) in enumerate(rows)}
-    outcome = np.array([place.get(w, HEAD_WORDS + 1 + ending(w)) for w, _ in rows], np.int64)
-    c = np.array([c for _, c in rows], np.int64)
-    unigram, within = np.zeros(_OUT), np.zeros(_OUT)
-    np.add.at(unigram, outcome[outcome <= HEAD_WORDS], c[outcome <= HEAD_WORDS])
+    end = counts.where(F.col("word") == F.lit(END)).first()
+    rows.insert(0, (END, end["c"] if end else 0))
     # Sizes of the endings, over every word that is no outcome of its own.
     e = F.pmod(F.crc32(F.when(F.length("word") > 2, F.substring("word", -2, 2)).otherwise(F.col("word"))), F.lit(ENDINGS))
-    for r in counts.groupBy(e.alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        unigram[HEAD_WORDS + 1 + r["e"]], within[HEAD_WORDS + 1 + r["e"]] = r["c"], r["n"]
-    for w, i in place.items():
-        k = HEAD_WORDS + 1 + ending(w)
-        if w in head:
-            unigram[k] -= c[head[w]]
-            within[k] -= 1
-    within[HEAD_WORDS + 1 :] = np.log10(unigram[HEAD_WORDS + 1 :] + within[HEAD_WORDS + 1 :] + 1)
-    # One more of each, at -1, for words that are not there.
-    return Lookup(head, c, np.append(outcome, 0), np.array([*(coarse(w) for w, _ in rows), 0], np.int64), unigram, within, total, distinct), least
-
-
-def start(unigram: np.ndarray, seed: int = 3) -> list[np.ndarray]:
-    """Embeddings of the word before, of the coarse class, of outcomes; biases."""
+    size, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for r in counts.where((F.col("c") < least) & (F.col("word") != F.lit(END))).groupBy(e.alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        size[r["e"]], kinds[r["e"]] = r["c"], r["n"]
+    c = np.array([c for _, c in rows], np.int64)
+    return Lookup({w: i for i, (w, _) in enumerate(rows)}, c, np.array([ending(w) for w, _ in rows], np.int64), np.concatenate((c, size)), np.log10(size + kinds + 1), total, distinct), least
+
+
+def start(v: Lookup, seed: int = 3) -> list[np.ndarray]:
+    """Embeddings of contexts, of their endings, of outcomes; biases of outcomes."""
     rng = np.random.default_rng(seed)
     r = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    p = (unigram + 0.5) / (unigram + 0.5).sum()
-    return [r(_OUT + 1, DIM), r(COARSE + 1, DIM), r(_OUT, DIM), np.log(p).astype(np.float32)]
+    return [np.zeros((v.outcomes + 1, DIM), np.float32), r(ENDINGS + 1, DIM), r(v.outcomes, DIM), np.log(noise_of(v)).astype(np.float32)]
 
 
-def tokens(text: str | None, v: Lookup) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words with END; their places in the lookup (-1: none), outcomes and coarse classes."""
-    w = words(text)
-    w.append(END)
-    at = np.fromiter((v.index.get(x, -1) for x in w), np.int64, len(w))
-    out, cls = v.outcome[at], v.coarse[at]
-    for i in np.flatnonzero(at < 0).tolist():
-        out[i], cls[i] = HEAD_WORDS + 1 + ending(w[i]), coarse(w[i])
-    return w, at, out, cls
+def noise_of(v: Lookup) -> np.ndarray:
+    return (v.unigram + 0.5) / (v.unigram + 0.5).sum()
 
 
-def contexts(out: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of one text: the outcome before each token, and the coarse class of the token before that."""
-    return np.concatenate(([_BOS], out[:-1])), np.concatenate(([COARSE, COARSE], cls[:-2]))[: len(out)]
+def before(out: np.ndarray, start: int) -> np.ndarray:
+    """Contexts of the outcomes of one text."""
+    return np.concatenate(([start], out[:-1]))
 
 
 def _scatter(into: np.ndarray, state: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
@@ -154,36 +161,34 @@ def _scatter(into: np.ndarray, state: np.ndarray, at: np.ndarray, grad: np.ndarr
     into[rows] += (step[:, None] if g.ndim > 1 else step) * g
 
 
-def ascend(params: list[np.ndarray], batches_: Iterator[tuple], unigram: np.ndarray, seed: int, rate: float = RATE) -> int:
-    """Noise-contrastive estimation over minibatches (before, class, outcome), in place; returns the tokens seen.
+def ascend(params: list[np.ndarray], batches_: Iterator[tuple], v: Lookup, seed: int) -> None:
+    """Noise-contrastive estimation over minibatches (before, outcome), in place.
 
     The noise words of a minibatch are shared by its tokens, so that scores and gradients are matrix products.
     """
     r, c, t, b = params
-    rng = np.random.default_rng(seed)
-    p = (unigram + 0.5) / (unigram + 0.5).sum()
+    rng, p, kinds = np.random.default_rng(seed), noise_of(v), v.ending_of_contexts()
     cdf, log_kp = np.cumsum(p), np.log(NOISE * p).astype(np.float32)
-    states, seen = [np.full(len(x), STATE, np.float32) for x in params], 0
-    for before, cls, out in batches_:
-        noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), _OUT - 1)
-        q, pos, neg = r[before] + c[cls], t[out], t[noise]
+    states = [np.full(len(x), STATE, np.float32) for x in params]
+    for ctx, out in batches_:
+        noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(p) - 1)
+        end = kinds[ctx]
+        q, pos, neg = r[ctx] + c[end], t[out], t[noise]
         s = np.einsum("ij,ij->i", q, pos) + b[out] - log_kp[out]
         g = 1 / (1 + np.exp(np.clip(s, -30, 30)))
         h = -1 / (1 + np.exp(np.clip(log_kp[noise] - b[noise] - q @ neg.T, -30, 30)))
         dq = g[:, None] * pos + h @ neg
-        _scatter(t, states[2], np.concatenate((out, noise)), np.concatenate((g[:, None] * q, h.T @ q)), rate)
-        _scatter(b, states[3], np.concatenate((out, noise)), np.concatenate((g, h.sum(0))), rate)
-        _scatter(r, states[0], before, dq, rate)
-        _scatter(c, states[1], cls, dq, rate)
-        seen += len(out)
-    return seen
+        _scatter(t, states[2], np.concatenate((out, noise)), np.concatenate((g[:, None] * q, h.T @ q)), RATE)
+        _scatter(b, states[3], np.concatenate((out, noise)), np.concatenate((g, h.sum(0))), RATE)
+        _scatter(r, states[0], ctx, dq, RATE)
+        _scatter(c, states[1], end, dq, RATE)
 
 
-def minibatches(texts: Iterator[str | None], v: Lookup) -> Iterator[tuple]:
+def minibatches(outs: Iterator[np.ndarray], start: int) -> Iterator[tuple]:
+    """Outcomes of text after text -> (before, outcome) in pieces of BATCH tokens and a last one."""
     held, n = [], 0
-    for t in texts:
-        _, _, out, cls = tokens(t, v)
-        held.append((*contexts(out, cls), out))
+    for out in outs:
+        held.append((before(out, start), out))
         n += len(out)
         if n >= BATCH:
             whole = [np.concatenate(x) for x in zip(*held)]
@@ -195,13 +200,13 @@ def minibatches(texts: Iterator[str | None], v: Lookup) -> Iterator[tuple]:
 
 
 def first_texts(training: DataFrame, total: int, seed: str) -> list[str | None]:
-    """Whole texts of training(doc_id, text) in the order of a hash of the id, up to the one that reaches FIRST_TOKENS.
+    """Whole texts of training(doc_id, text) in the order of a hash of both, up to the one that reaches FIRST_TOKENS.
 
     total: the tokens of all of training.
     """
-    place = id_fraction(F.col("doc_id"), seed)
+    place = id_fraction(F.struct("doc_id", "text"), seed)
     # A share that holds about twice as many tokens; the rest is never sorted.
-    few = training.where(place < min(1.0, 2 * FIRST_TOKENS / max(1, total))).orderBy(place, F.xxhash64("text"), "text").select("text")
+    few = training.where(place < min(1.0, 2 * FIRST_TOKENS / max(1, total))).orderBy(place, "text").select("text")
     texts, n = [], 0
     for r in few.toLocalIterator():
         texts.append(r["text"])
@@ -211,61 +216,245 @@ def first_texts(training: DataFrame, total: int, seed: str) -> list[str | None]:
     return texts
 
 
-def fit(training: DataFrame, v: Lookup, seed: str = "lm") -> list[np.ndarray]:
-    """Parameters from all of training(doc_id, text)."""
+@dataclass
+class Model:
+    """query (contexts, DIM) and target (outcomes, DIM), bias and normaliser of each; direct connections as sorted
+    codes (context * outcomes + outcome) with their shares, and what they leave of each context."""
+
+    query: np.ndarray
+    target: np.ndarray
+    bias: np.ndarray
+    normaliser: np.ndarray
+    codes: np.ndarray
+    shares: np.ndarray
+    left: np.ndarray
+
+    def probabilities(self, ctx: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Of each outcome in its context."""
+        s = np.empty(len(out), np.float32)
+        for i in range(0, len(out), 1 << 15):
+            j = slice(i, i + (1 << 15))
+            s[j] = np.einsum("ij,ij->i", self.query[ctx[j]], self.target[out[j]])
+        p = np.exp((s + self.bias[out]).astype(np.float64) - self.normaliser[ctx]) * self.left[ctx]
+        if len(self.codes):
+            code = ctx * len(self.target) + out
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            p += np.where(self.codes[at] == code, self.shares[at], 0.0)
+        return p
+
+
+#: What groups pass on: parts of the parameters (kind 0) or of the counts of pairs (kind 1).
+PASSED = "kind int, part int, g long, n binary, x binary"
+_PASSED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("g", pa.int64()), ("n", pa.binary()), ("x", pa.binary())])
+
+
+def _passed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PASSED)], schema=_PASSED)
+
+
+def _count(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their times."""
+    order = codes.argsort(kind="stable")
+    codes, times = codes[order], times[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.empty(0, np.int64)
+    return codes[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _parts(n: int) -> list[slice]:
+    per = -(-n // BLOCKS)
+    return [slice(i * per, min(n, (i + 1) * per)) for i in range(BLOCKS) if i * per < n]
+
+
+def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> DataFrame:
+    """One pass over all of training(doc_id, text) -> PASSED: what each group adds to the rows of the parameters that it
+    met (float16) and how often it met them; counts of its pairs of outcomes."""
     spark = training.sparkSession
-    texts = first_texts(training, v.total, seed)
-    params = start(v.unigram)
-    for epoch in range(4):
-        ascend(params, minibatches(iter(texts), v), v.unigram, epoch)
-    got = spark.sparkContext.broadcast((v, params))
-    shapes = [p.shape for p in params]
-    flat = np.concatenate([p.ravel() for p in params])
-    per = -(-len(flat) // BLOCKS)
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    batches(spark)
+    got, groups, n_out = spark.sparkContext.broadcast((v, params)), 1 + v.total // GROUP_TOKENS, v.outcomes
+
+    def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = got.value[0]
+        for b in frames:
+            outs = [look.outcomes_of([*words(t), END]).astype(np.uint32).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(outs, pa.binary())], names=["h", "outs"])
+
+    def group(g: int, texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         look, first = got.value
-        own, pid = [p.copy() for p in first], TaskContext.get().partitionId()
-        n = ascend(own, minibatches((t for b in frames for t in b["text"]), look), look.unigram, 1000 + pid, RATE / 2)
-        if n:
-            x = np.concatenate([p.ravel() for p in own])
-            yield pd.DataFrame({"block": range(BLOCKS), "salt": pid % SALTS, "n": n, "x": [x[i * per : (i + 1) * per].tobytes() for i in range(BLOCKS)]})
-
-    def average(f: pd.DataFrame) -> pd.DataFrame:
-        n = f["n"].sum()
-        x = sum(np.frombuffer(x, np.float32).astype(np.float64) * (k / n) for x, k in zip(f["x"], f["n"]))
-        return pd.DataFrame({"block": [f["block"][0]], "salt": [f["salt"][0]], "n": [n], "x": [x.astype(np.float32).tobytes()]})
-
-    schema = "block int, salt int, n long, x binary"
-    rows = training.select("text").mapInPandas(run, schema)
-    rows = rows.groupBy("block", "salt").applyInPandas(average, schema).withColumn("salt", F.lit(0)).groupBy("block").applyInPandas(average, schema)
-    parts = {r["block"]: np.frombuffer(r["x"], np.float32) for r in rows.collect()}
-    if not parts:
-        return params
-    flat, at = np.concatenate([parts[i] for i in range(BLOCKS)]), np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
-    return [flat[i:j].reshape(s) for i, j, s in zip(at, at[1:], shapes)]
-
-
-def normalisers(params: list[np.ndarray]) -> np.ndarray:
-    """log of the sum over outcomes of exp(score), for every context (before, class)."""
-    r, c, t, b = params
-    z = np.empty((len(r), len(c)), np.float32)
-    for k in range(len(c)):
-        for i in range(0, len(r), 512):
-            s = (r[i : i + 512] + c[k]) @ t.T + b
-            m = s.max(1)
-            z[i : i + 512, k] = m + np.log(np.exp(s - m[:, None]).sum(1))
-    return z
+        own = [p.copy() for p in first]
+        met, held, waiting = np.zeros(n_out + 1, np.int64), [], 0
+        codes, times = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def seen() -> Iterator[tuple]:
+            nonlocal waiting, codes, times
+            for ctx, out in minibatches(texts, n_out):
+                yield ctx, out
+                met[:] += np.bincount(ctx, minlength=n_out + 1)
+                held.append(ctx * n_out + out)
+                waiting += len(out)
+                if waiting >= CODES:
+                    codes, times = _count(np.concatenate((codes, *held)), np.concatenate((times, np.ones(waiting, np.int64))))
+                    held.clear()
+                    waiting = 0
+
+        ascend(own, seen(), look, 1000 + g)
+        codes, times = _count(np.concatenate((codes, *held)), np.concatenate((times, np.ones(waiting, np.int64))))
+        # How often: contexts as such, outcomes as what follows, endings with their contexts.
+        out_met = np.zeros(n_out, np.int64)
+        np.add.at(out_met, codes % n_out, times)
+        end_met = np.bincount(look.ending_of_contexts(), met, ENDINGS + 1).astype(np.int64)
+        for k, (a, b, often) in enumerate(zip(own, first, (met, end_met, out_met, out_met))):
+            for i, part in enumerate(_parts(len(a))):
+                w = often[part]
+                at = np.flatnonzero(w)
+                if len(at):
+                    yield _passed([(0, k * BLOCKS + i, g, np.stack((at, w[at])).astype(np.int64).tobytes(), (a[part][at] - b[part][at]).astype(np.float16).tobytes())])
+        bucket = codes // n_out % BUCKETS
+        order = bucket.argsort(kind="stable")
+        at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        rows = []
+        for k in range(BUCKETS):
+            if at[k] < at[k + 1]:
+                own_codes, n = codes[order[at[k] : at[k + 1]]], times[order[at[k] : at[k + 1]]]
+                rows.append((1, k, g, n.astype(np.uint32).tobytes(), _packed(own_codes)))
+        if rows:
+            yield _passed(rows)
 
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((g, np.frombuffer(o, np.uint32).astype(np.int64)) for b in frames for g, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for g, texts in groupby(rows, key=itemgetter(0)):
+            yield from group(g, (o for _, o in texts))
 
-def log_probabilities(params: list[np.ndarray], z: np.ndarray, before: np.ndarray, cls: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each outcome in its context."""
-    r, c, t, b = params
-    s = np.empty(len(out), np.float32)
-    for i in range(0, len(out), 1 << 15):
-        j = slice(i, i + (1 << 15))
-        s[j] = np.einsum("ij,ij->i", r[before[j]] + c[cls[j]], t[out[j]])
-    return (s + b[out] - z[before, cls]).astype(np.float64)
+    rows = training.select(F.xxhash64(F.lit("group"), "doc_id", "text").alias("h"), "text").mapInArrow(encode, "h long, outs binary")
+    rows = rows.withColumn("g", F.pmod("h", F.lit(groups))).repartition("g").sortWithinPartitions("g", "h", "outs")
+    return rows.select("g", "outs").mapInArrow(run, PASSED)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Sorted codes as differences, squeezed."""
+    return zlib.compress(np.diff(codes, prepend=0).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
+def _sum_parameters(rows: Iterator[tuple[bytes, bytes]], dim: int) -> tuple[bytes, bytes]:
+    """Rows of one part from several groups, in order -> rows met by any, with the mean by how often."""
+    often, total = np.zeros(0, np.int64), np.zeros((0, dim))
+    for n, x in rows:
+        at, w = np.frombuffer(n, np.int64).reshape(2, -1)
+        if (most := int(at[-1]) + 1) > len(often):
+            often, total = np.pad(often, (0, most - len(often))), np.pad(total, ((0, most - len(total)), (0, 0)))
+        often[at] += w
+        total[at] += np.frombuffer(x, np.float16).reshape(-1, dim) * w[:, None].astype(np.float64)
+    at = np.flatnonzero(often)
+    return np.stack((at, often[at])).tobytes(), (total[at] / often[at][:, None]).astype(np.float16).tobytes()
+
+
+def _sum_pairs(rows: Iterator[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    codes, times, held, waiting = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+    for n, x in rows:
+        held.append((_unpacked(x), np.frombuffer(n, np.uint32).astype(np.int64)))
+        if (waiting := waiting + len(held[-1][0])) >= CODES:
+            codes, times = _count(*(np.concatenate((a, *b)) for a, b in zip((codes, times), zip(*held))))
+            held, waiting = [], 0
+    if held:
+        codes, times = _count(*(np.concatenate((a, *b)) for a, b in zip((codes, times), zip(*held))))
+    return np.minimum(times, 2**32 - 1).astype(np.uint32).tobytes(), _packed(codes)
+
+
+def put_together(passed: DataFrame, groups: int) -> DataFrame:
+    """PASSED of all groups -> one row for each kind and part: FAN groups at a time, in their order."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in frames for r in zip(*(c.to_pylist() for c in b.columns)))
+        for (kind, part, to), own in groupby(rows, key=itemgetter(0, 1, 2)):
+            both = ((n, x) for *_, n, x in own)
+            n, x = _sum_pairs(both) if kind else _sum_parameters(both, 1 if part // BLOCKS == 3 else DIM)
+            yield _passed([(kind, part, to, n, x)])
+
+    while True:
+        to = passed.withColumn("to", F.floor(F.col("g") / FAN)).repartition("kind", "part", "to").sortWithinPartitions("kind", "part", "to", "g")
+        passed, groups = to.select("kind", "part", "to", "n", "x").mapInArrow(run, PASSED), -(-groups // FAN)
+        if groups <= 1:
+            return passed
+        passed = materialize(passed, "together")
+
+
+def normalisers(spark, query: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """log of the sum over outcomes of exp(score), for every context."""
+    got = spark.sparkContext.broadcast((query, target, bias))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, t, b = got.value
+        for f in frames:
+            for k in f["id"].tolist():
+                own = q[k * ROWS : (k + 1) * ROWS]
+                m, z = np.full(len(own), -np.inf, np.float32), np.zeros(len(own))
+                for i in range(0, len(t), COLUMNS):
+                    s = own @ t[i : i + COLUMNS].T
+                    s += b[i : i + COLUMNS]
+                    most = np.maximum(m, s.max(1))
+                    s -= most[:, None]
+                    np.exp(s, out=s)
+                    z = z * np.exp(m - most) + s.sum(1)
+                    m = most
+                yield pd.DataFrame({"k": [k], "z": [(m + np.log(z)).tobytes()]})
+
+    n = -(-len(query) // ROWS)
+    rows = spark.range(0, n, 1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInPandas(run, "k long, z binary").collect()
+    return np.concatenate([np.frombuffer(r["z"], np.float64) for r in sorted(rows, key=itemgetter("k"))])
+
+
+def connections(pairs: DataFrame, v: Lookup, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pairs of put_together() -> codes in order, shares, what is left of each context. The pairs of the highest counts,
+    at most `most` and whole counts only."""
+
+    def histogram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for n in f["n"]:
+                c, k = np.unique(np.minimum(np.frombuffer(n, np.uint32), 1 << 16), return_counts=True)
+                yield pd.DataFrame({"c": c.astype(np.int64), "k": k})
+
+    by = pairs.select("n").mapInPandas(histogram, "c long, k long").groupBy("c").agg(F.sum("k").alias("k")).orderBy(F.desc("c")).collect()
+    least, room = 1 << 32, most
+    for r in by:
+        if (room := room - r["k"]) < 0:
+            break
+        least = r["c"]
+
+    def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for n, x in zip(f["n"], f["x"]):
+                c = np.frombuffer(n, np.uint32)
+                if (c >= least).any():
+                    yield pd.DataFrame({"n": [c[c >= least].tobytes()], "x": [_packed(_unpacked(x)[c >= least])]})
+
+    rows = pairs.select("n", "x").mapInPandas(kept, "n binary, x binary").collect()
+    codes = np.concatenate([np.empty(0, np.int64), *(_unpacked(bytes(r["x"])) for r in rows)])
+    times = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["n"], np.uint32).astype(np.int64) for r in rows)])
+    order = codes.argsort()
+    codes, times = codes[order], times[order]
+    # A word is a context as often as it occurs, the start of a text as often as the end; the end is none.
+    often, ctx = np.concatenate((v.unigram, [v.unigram[0]])), codes // v.outcomes
+    shares = (times - DISCOUNT) / often[ctx]
+    return codes, shares.astype(np.float32), 1 - np.bincount(ctx, shares.astype(np.float32), v.outcomes + 1)
+
+
+def fit(training: DataFrame, v: Lookup, seed: str = "lm") -> Model:
+    """The model of all of training(doc_id, text)."""
+    spark = training.sparkSession
+    params = start(v)
+    first = (v.outcomes_of([*words(t), END]) for t in first_texts(training, v.total, seed))
+    ascend(params, minibatches(first, v.outcomes), v, 0)
+    passed = materialize(train(training, v, params), "groups")
+    whole = materialize(put_together(passed, 1 + v.total // GROUP_TOKENS), "model")
+    for r in whole.where("kind = 0").toLocalIterator():
+        k, i = divmod(r["part"], BLOCKS)
+        at = np.frombuffer(r["n"], np.int64).reshape(2, -1)[0] + _parts(len(params[k]))[i].start
+        params[k][at] += np.frombuffer(r["x"], np.float16).reshape(len(at), *params[k].shape[1:])
+    query = params[0] + params[1][v.ending_of_contexts()]
+    return Model(query, params[2], params[3], normalisers(spark, query, params[2], params[3]), *connections(whole.where("kind = 1"), v))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -273,7 +462,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     Learns from documents whose crc32(doc_id as text) mod 7 is not 2 (a null id counts as the empty text).
     Null and empty texts are one token, the end. Without training documents every token has the
-    probability 1 under the base and the smoothed one of an untrained model. No rows give no rows.
+    probability 1 under the base and the smoothed one of an untrained model. No rows give no rows; repeated
+    rows are trained on and scored as often as they occur.
     """
     spark = docs.sparkSession
     batches(spark)
@@ -282,27 +472,28 @@ def score(docs: DataFrame) -> DataFrame:
     training = d.where(~held)
     counts = materialize(count_words(training), "counts")
     v, least = lookup(counts)
-    params = fit(training, v)
-    got = spark.sparkContext.broadcast((v, params, normalisers(params)))
+    got = spark.sparkContext.broadcast((v, fit(training, v)))
     whole = np.log10(v.total + v.distinct + 1)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
     arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, par, z = got.value
+        look, model = got.value
         row = TaskContext.get().partitionId() << 33
-        log_c = np.append(np.log10(look.counts + 1.0), 0.0)  # at -1: not in the lookup
-        inside = np.where(look.outcome > HEAD_WORDS, log_c, 0.0)
+        # Of a word without an outcome of its own the counts come later, by a join.
+        log_c = np.concatenate((np.log10(look.counts + 1.0), np.zeros(ENDINGS)))
+        inside = np.concatenate((np.zeros(look.words), -look.within))
         for b in frames:
             rows = []
             for doc, out_of, text in zip(*(c.to_pylist() for c in b.columns)):
-                w, at, out, cls = tokens(text, look)
-                lp = log_probabilities(par, z, *contexts(out, cls), out).sum() / np.log(10)
-                # A word outside the outcomes: its ending, then its share of that ending.
-                lp += float((inside[at] - look.within[out]).sum())
-                rare = Counter(w[i] for i in np.flatnonzero(at < 0).tolist())
-                rows.append((row, doc, out_of, len(w), int((at >= 0).sum()), float(log_c[at].sum() - len(w) * whole), float(lp), list(rare), list(rare.values())))
+                w = [*words(text), END]
+                out = look.outcomes_of(w)
+                rest = out >= look.words
+                # A word without an outcome: its ending, then its share of that ending.
+                lp = np.log10(np.maximum(model.probabilities(before(out, look.outcomes), out), 1e-300)) + inside[out]
+                rare = Counter(w[i] for i in np.flatnonzero(rest).tolist())
+                rows.append((row, doc, out_of, len(w), int((~rest).sum()) - (look.counts[0] == 0), float(log_c[out].sum() - len(w) * whole), float(lp.sum()), list(rare), list(rare.values())))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
 

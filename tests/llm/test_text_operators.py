@@ -473,20 +473,78 @@ class TestLanguageModel:
         held = [r for r in got.values() if r.held_out]
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
-    def test_probabilities_are_normalised(self):
-        rng = np.random.default_rng(11)
-        p = lm.start(rng.integers(0, 50, lm._OUT).astype(float))
-        z = lm.normalisers(p)
-        out = np.arange(lm._OUT)
-        for before, cls in ((0, 3), (lm._BOS, lm.COARSE)):
-            s = lm.log_probabilities(p, z, np.full(lm._OUT, before), np.full(lm._OUT, cls), out)
-            assert np.exp(s).sum() == pytest.approx(1, abs=1e-3)
-
-    def test_endings_share_out_their_probability(self, spark):
-        counts = spark.createDataFrame([(b"", 9), *[(f"w{i:03d}".encode(), 1 + i % 3) for i in range(400)]], "word binary, c long")
-        v, least = lm.lookup(counts, 10_000)
-        assert v.total == 9 + sum(1 + i % 3 for i in range(400)) and v.distinct == 401 and least == 1
-        assert v.unigram.sum() == v.total
+    def model(self, spark, rows, limit):
+        d = docs(spark, [(i, t, None, None) for i, t in rows])
+        counts = lm.count_words(d)
+        v, least = lm.lookup(counts, limit)
+        return v, lm.fit(d.select("doc_id", "text"), v)
+
+    @pytest.mark.parametrize("limit", [40, 10_000])
+    def test_score_against_brute_force(self, spark, monkeypatch, limit):
+        """Token by token from the embeddings and a count of pairs; over all words and unseen slots it sums to 1."""
+        monkeypatch.setattr(lm.lookup, "__defaults__", (limit,))
+        rows = self.data(spark, 120)
+        learnt = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+        v, m = self.model(spark, learnt, limit)
+        c = Counter(w for _, t in learnt for w in [*words(t), b""])
+        names = sorted(v.index, key=v.index.get)
+        place = lambda w: v.index.get(w, len(names) + lm.ending(w))
+        pairs, ctx = Counter(), Counter()
+        for _, t in learnt:
+            out = [place(w) for w in [*words(t), b""]]
+            pairs.update(zip([v.outcomes, *out], out))
+            ctx.update([v.outcomes, *out[:-1]])
+        size = Counter()
+        for w, n in c.items():
+            if w not in v.index:
+                size[lm.ending(w)] += n + 1
+        table = {}
+
+        def p(h, w):
+            if h not in table:
+                s = (m.query[h] @ m.target.T + m.bias).astype(np.float64)
+                own = np.array([max(pairs[h, o] - lm.DISCOUNT, 0) / max(1, ctx[h]) for o in range(v.outcomes)])
+                table[h] = (1 - own.sum()) * np.exp(s) / np.exp(s).sum() + own
+            o = place(w)
+            return table[h][o] * (1 if o < len(names) else (c[w] + 1) / (size[lm.ending(w)] + 1))
+
+        unseen = {}
+        for k in range(94 * 94):
+            w = b"~%c%c" % (33 + k // 94, 33 + k % 94)
+            unseen.setdefault(lm.ending(w), w)
+        assert len(unseen) == lm.ENDINGS and (len(names) < len(c)) == (limit == 40)
+        for h in (v.outcomes, place(b"big"), place(b"w7"), place(b"~~~")):
+            assert sum(p(h, w) for w in c) + sum(p(h, w) for w in unseen.values()) == pytest.approx(1, abs=1e-5)
+        got = {r.doc_id: r.score for r in lm.score(docs(spark, [(i, t, None, None) for i, t in rows])).collect()}
+        for i, t in rows:
+            w = [*words(t), b""]
+            want = sum(np.log10(p(h, x)) for h, x in zip([v.outcomes, *map(place, w)], w))
+            assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+    def test_model_does_not_depend_on_partitions(self, spark, monkeypatch):
+        monkeypatch.setattr(lm, "GROUP_TOKENS", 400)
+        monkeypatch.setattr(lm, "FAN", 3)
+        monkeypatch.setattr(lm, "PAIRS", 200)
+        rows = self.data(spark, 150)
+        d = docs(spark, [(i, t, None, None) for i, t in rows]).select("doc_id", "text")
+        v, _ = lm.lookup(lm.count_words(d))
+        assert v.total > 2000  # several groups, put together at two levels
+        a, b = lm.fit(d.repartition(4), v), lm.fit(d.orderBy(F.desc("text")).repartition(40), v)
+        for name in ("query", "target", "bias", "normaliser", "codes", "shares", "left"):
+            assert np.array_equal(getattr(a, name), getattr(b, name)), name
+        codes, _, left = lm.connections(lm.put_together(lm.train(d, v, lm.start(v)), 1 + v.total // 400).where("kind = 1"), v, 60)
+        pairs = Counter()
+        for _, t in rows:
+            out = v.outcomes_of([*words(t), b""])
+            pairs.update((lm.before(out, v.outcomes) * v.outcomes + out).tolist())
+        level = next(k for k in sorted(set(pairs.values())) if sum(n >= k for n in pairs.values()) <= 60)
+        assert codes.tolist() == sorted(c for c, n in pairs.items() if n >= level) and (left > 0).all()
+
+    @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+    def test_held_out_texts_against_a_smoothed_bigram(self, spark):
+        rows = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        # A bigram model with a discount of 0.75 over the base gives -3.507 a token, the base -4.067.
+        assert rows[0] / rows[2] > -3.507 > rows[1] / rows[2]
 
     def test_odd_rows(self, spark):
         out = lm.score(odd(spark)).collect()
