@@ -26,31 +26,31 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, repeat
 from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, id_fraction, id_remainder, materialize, words
 
-ENDINGS, DIM = 256, 32
+ENDINGS, DIM = 256, 24
 #: Words whose counts and embeddings are broadcast, pairs with direct connections (some 25 MB), and the discount of these.
 LOOKUP, PAIRS, DISCOUNT = 1 << 17, 1 << 21, 0.75
 #: Tokens of the first fit, whose last text is whole, and of a group of the pass over all documents.
 FIRST_TOKENS, GROUP_TOKENS = 400_000, 8_000_000
 #: Tokens of a minibatch and its noise words; AdaGrad: rate, and the sum of squares it starts from.
-BATCH, NOISE, RATE, STATE = 1024, 256, 0.1, 1.0
+BATCH, NOISE, RATE, STATE = 1024, 128, 0.07, 1.0
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 #: Distinct words a task counts before it passes them on.
 COUNTED = 400_000
 #: Parts of the parameters and of the pairs; groups whose results a task puts together.
 BLOCKS, BUCKETS, FAN = 16, 256, 64
-#: Codes of pairs a task holds before it counts them; contexts and outcomes of one matrix product.
+#: Pairs a task holds before it counts them; contexts and outcomes of one matrix product.
 CODES, ROWS, COLUMNS = 1 << 21, 512, 1 << 14
 #: The end of a text, as a token: no word is empty. It is outcome 0.
 END = b""
@@ -82,8 +82,10 @@ class Lookup:
         return len(self.counts) + ENDINGS
 
     def outcomes_of(self, w: list[bytes]) -> np.ndarray:
-        get, n = self.index.get, self.words
-        return np.array([n + ending(x) if (i := get(x)) is None else i for x in w], np.int64)
+        out = np.fromiter(map(self.index.get, w, repeat(-1)), np.int64, len(w))
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = self.words + ending(w[i])
+        return out
 
     def ending_of_contexts(self) -> np.ndarray:
         """For each context, the ending that it has or is; ENDINGS for the start of a text."""
@@ -150,15 +152,19 @@ def before(out: np.ndarray, start: int) -> np.ndarray:
     return np.concatenate(([start], out[:-1]))
 
 
-def _scatter(into: np.ndarray, state: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """AdaGrad ascent on rows `at`, whose gradients add up; one step size a row."""
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of `at`, where its runs of equal values begin in that order, and those values."""
     order = at.argsort(kind="stable")
     s = at[order]
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    g, rows = np.add.reduceat(grad[order], first), s[first]
-    state[rows] += (g * g).mean(1) if g.ndim > 1 else g * g
-    step = rate / np.sqrt(state[rows] + 1e-8)
-    into[rows] += (step[:, None] if g.ndim > 1 else step) * g
+    return order, first, s[first]
+
+
+def _step(into: np.ndarray, state: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+    """AdaGrad ascent on distinct rows; one step size a row."""
+    state[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g
+    step = RATE / np.sqrt(state[rows])
+    into[rows] += step[:, None] * g if g.ndim > 1 else step * g
 
 
 def ascend(params: list[np.ndarray], batches_: Iterator[tuple], v: Lookup, seed: int) -> None:
@@ -172,16 +178,25 @@ def ascend(params: list[np.ndarray], batches_: Iterator[tuple], v: Lookup, seed:
     states = [np.full(len(x), STATE, np.float32) for x in params]
     for ctx, out in batches_:
         noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(p) - 1)
-        end = kinds[ctx]
-        q, pos, neg = r[ctx] + c[end], t[out], t[noise]
+        q, pos, neg = r[ctx] + c[kinds[ctx]], t[out], t[noise]
         s = np.einsum("ij,ij->i", q, pos) + b[out] - log_kp[out]
         g = 1 / (1 + np.exp(np.clip(s, -30, 30)))
-        h = -1 / (1 + np.exp(np.clip(log_kp[noise] - b[noise] - q @ neg.T, -30, 30)))
+        h = q @ neg.T
+        h += b[noise] - log_kp[noise]
+        np.clip(h, -30, 30, out=h)
+        np.exp(-h, out=h)
+        h += 1
+        np.divide(-1, h, out=h)
         dq = g[:, None] * pos + h @ neg
-        _scatter(t, states[2], np.concatenate((out, noise)), np.concatenate((g[:, None] * q, h.T @ q)), RATE)
-        _scatter(b, states[3], np.concatenate((out, noise)), np.concatenate((g, h.sum(0))), RATE)
-        _scatter(r, states[0], ctx, dq, RATE)
-        _scatter(c, states[1], end, dq, RATE)
+        # Gradients of the same row add up; those of an ending are the sums of its contexts'.
+        order, first, rows = _runs(np.concatenate((out, noise)))
+        _step(t, states[2], rows, np.add.reduceat(np.concatenate((g[:, None] * q, h.T @ q))[order], first))
+        _step(b, states[3], rows, np.add.reduceat(np.concatenate((g, h.sum(0)))[order], first))
+        order, first, rows = _runs(ctx)
+        dr = np.add.reduceat(dq[order], first)
+        _step(r, states[0], rows, dr)
+        order, first, ends = _runs(kinds[rows])
+        _step(c, states[1], ends, np.add.reduceat(dr[order], first))
 
 
 def minibatches(outs: Iterator[np.ndarray], start: int) -> Iterator[tuple]:
@@ -265,9 +280,9 @@ def _parts(n: int) -> list[slice]:
     return [slice(i * per, min(n, (i + 1) * per)) for i in range(BLOCKS) if i * per < n]
 
 
-def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> DataFrame:
+def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> tuple[DataFrame, Broadcast]:
     """One pass over all of training(doc_id, text) -> PASSED: what each group adds to the rows of the parameters that it
-    met (float16) and how often it met them; counts of its pairs of outcomes."""
+    met (float16) and how often it met them; counts of its pairs of outcomes. And the broadcast that it rests on."""
     spark = training.sparkSession
     batches(spark)
     got, groups, n_out = spark.sparkContext.broadcast((v, params)), 1 + v.total // GROUP_TOKENS, v.outcomes
@@ -281,43 +296,39 @@ def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> DataFrame
     def group(g: int, texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         look, first = got.value
         own = [p.copy() for p in first]
-        met, held, waiting = np.zeros(n_out + 1, np.int64), [], 0
-        codes, times = np.empty(0, np.int64), np.empty(0, np.int64)
+        # How often: contexts as such, outcomes as what follows, endings with their contexts.
+        met, out_met = np.zeros(n_out + 1, np.int64), np.zeros(n_out, np.int64)
+        held, pairs = [], []
+
+        def count():
+            ctx, out = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            met[:] += np.bincount(ctx, minlength=n_out + 1)
+            out_met[:] += np.bincount(out, minlength=n_out)
+            codes, times = _distinct(ctx * n_out + out)
+            bucket = codes // n_out % BUCKETS
+            order = bucket.argsort(kind="stable")
+            at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+            which = [order[i:j] for i, j in zip(at, at[1:])]
+            pairs.append(_passed([(1, k, g, _squeezed(times[w]), _packed(codes[w])) for k, w in enumerate(which) if len(w)]))
 
         def seen() -> Iterator[tuple]:
-            nonlocal waiting, codes, times
-            for ctx, out in minibatches(texts, n_out):
-                yield ctx, out
-                met[:] += np.bincount(ctx, minlength=n_out + 1)
-                held.append(ctx * n_out + out)
-                waiting += len(out)
-                if waiting >= CODES:
-                    codes, times = _count(np.concatenate((codes, *held)), np.concatenate((times, np.ones(waiting, np.int64))))
-                    held.clear()
-                    waiting = 0
+            for n, b in enumerate(minibatches(texts, n_out), 1):
+                yield b
+                held.append(b)
+                if n % (CODES // BATCH) == 0:
+                    count()
 
         ascend(own, seen(), look, 1000 + g)
-        codes, times = _count(np.concatenate((codes, *held)), np.concatenate((times, np.ones(waiting, np.int64))))
-        # How often: contexts as such, outcomes as what follows, endings with their contexts.
-        out_met = np.zeros(n_out, np.int64)
-        np.add.at(out_met, codes % n_out, times)
+        if held:
+            count()
+        yield from pairs
         end_met = np.bincount(look.ending_of_contexts(), met, ENDINGS + 1).astype(np.int64)
         for k, (a, b, often) in enumerate(zip(own, first, (met, end_met, out_met, out_met))):
             for i, part in enumerate(_parts(len(a))):
-                w = often[part]
-                at = np.flatnonzero(w)
+                at = np.flatnonzero(often[part])
                 if len(at):
-                    yield _passed([(0, k * BLOCKS + i, g, np.stack((at, w[at])).astype(np.int64).tobytes(), (a[part][at] - b[part][at]).astype(np.float16).tobytes())])
-        bucket = codes // n_out % BUCKETS
-        order = bucket.argsort(kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        rows = []
-        for k in range(BUCKETS):
-            if at[k] < at[k + 1]:
-                own_codes, n = codes[order[at[k] : at[k + 1]]], times[order[at[k] : at[k + 1]]]
-                rows.append((1, k, g, n.astype(np.uint32).tobytes(), _packed(own_codes)))
-        if rows:
-            yield _passed(rows)
+                    yield _passed([(0, k * BLOCKS + i, g, np.stack((at, often[part][at])).tobytes(), (a[part][at] - b[part][at]).astype(np.float16).tobytes())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((g, np.frombuffer(o, np.uint32).astype(np.int64)) for b in frames for g, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
@@ -326,16 +337,32 @@ def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> DataFrame
 
     rows = training.select(F.xxhash64(F.lit("group"), "doc_id", "text").alias("h"), "text").mapInArrow(encode, "h long, outs binary")
     rows = rows.withColumn("g", F.pmod("h", F.lit(groups))).repartition("g").sortWithinPartitions("g", "h", "outs")
-    return rows.select("g", "outs").mapInArrow(run, PASSED)
+    return rows.select("g", "outs").mapInArrow(run, PASSED), got
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.diff(first, append=len(codes))
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers, their bytes by place: most are zero."""
+    return zlib.compress(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
 def _packed(codes: np.ndarray) -> bytes:
-    """Sorted codes as differences, squeezed."""
-    return zlib.compress(np.diff(codes, prepend=0).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Codes in order, as differences."""
+    return _squeezed(np.diff(codes, prepend=0))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+    return np.cumsum(_spread(raw))
 
 
 def _sum_parameters(rows: Iterator[tuple[bytes, bytes]], dim: int) -> tuple[bytes, bytes]:
@@ -354,13 +381,13 @@ def _sum_parameters(rows: Iterator[tuple[bytes, bytes]], dim: int) -> tuple[byte
 def _sum_pairs(rows: Iterator[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
     codes, times, held, waiting = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
     for n, x in rows:
-        held.append((_unpacked(x), np.frombuffer(n, np.uint32).astype(np.int64)))
+        held.append((_unpacked(x), _spread(n)))
         if (waiting := waiting + len(held[-1][0])) >= CODES:
             codes, times = _count(*(np.concatenate((a, *b)) for a, b in zip((codes, times), zip(*held))))
             held, waiting = [], 0
     if held:
         codes, times = _count(*(np.concatenate((a, *b)) for a, b in zip((codes, times), zip(*held))))
-    return np.minimum(times, 2**32 - 1).astype(np.uint32).tobytes(), _packed(codes)
+    return _squeezed(times), _packed(codes)
 
 
 def put_together(passed: DataFrame, groups: int) -> DataFrame:
@@ -403,6 +430,7 @@ def normalisers(spark, query: np.ndarray, target: np.ndarray, bias: np.ndarray)
 
     n = -(-len(query) // ROWS)
     rows = spark.range(0, n, 1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInPandas(run, "k long, z binary").collect()
+    got.destroy()
     return np.concatenate([np.frombuffer(r["z"], np.float64) for r in sorted(rows, key=itemgetter("k"))])
 
 
@@ -413,11 +441,11 @@ def connections(pairs: DataFrame, v: Lookup, most: int = PAIRS) -> tuple[np.ndar
     def histogram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for n in f["n"]:
-                c, k = np.unique(np.minimum(np.frombuffer(n, np.uint32), 1 << 16), return_counts=True)
-                yield pd.DataFrame({"c": c.astype(np.int64), "k": k})
+                c, k = np.unique(np.minimum(_spread(n), 1 << 16), return_counts=True)
+                yield pd.DataFrame({"c": c, "k": k})
 
     by = pairs.select("n").mapInPandas(histogram, "c long, k long").groupBy("c").agg(F.sum("k").alias("k")).orderBy(F.desc("c")).collect()
-    least, room = 1 << 32, most
+    least, room = 1 << 62, most
     for r in by:
         if (room := room - r["k"]) < 0:
             break
@@ -426,13 +454,13 @@ def connections(pairs: DataFrame, v: Lookup, most: int = PAIRS) -> tuple[np.ndar
     def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for n, x in zip(f["n"], f["x"]):
-                c = np.frombuffer(n, np.uint32)
+                c = _spread(n)
                 if (c >= least).any():
-                    yield pd.DataFrame({"n": [c[c >= least].tobytes()], "x": [_packed(_unpacked(x)[c >= least])]})
+                    yield pd.DataFrame({"n": [_squeezed(c[c >= least])], "x": [_packed(_unpacked(x)[c >= least])]})
 
     rows = pairs.select("n", "x").mapInPandas(kept, "n binary, x binary").collect()
     codes = np.concatenate([np.empty(0, np.int64), *(_unpacked(bytes(r["x"])) for r in rows)])
-    times = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["n"], np.uint32).astype(np.int64) for r in rows)])
+    times = np.concatenate([np.empty(0, np.int64), *(_spread(bytes(r["n"])) for r in rows)])
     order = codes.argsort()
     codes, times = codes[order], times[order]
     # A word is a context as often as it occurs, the start of a text as often as the end; the end is none.
@@ -447,7 +475,9 @@ def fit(training: DataFrame, v: Lookup, seed: str = "lm") -> Model:
     params = start(v)
     first = (v.outcomes_of([*words(t), END]) for t in first_texts(training, v.total, seed))
     ascend(params, minibatches(first, v.outcomes), v, 0)
-    passed = materialize(train(training, v, params), "groups")
+    rows, sent = train(training, v, params)
+    passed = materialize(rows, "groups")
+    sent.destroy()  # workers that are used again need not hold it
     whole = materialize(put_together(passed, 1 + v.total // GROUP_TOKENS), "model")
     for r in whole.where("kind = 0").toLocalIterator():
         k, i = divmod(r["part"], BLOCKS)

@@ -532,7 +532,7 @@ class TestLanguageModel:
         a, b = lm.fit(d.repartition(4), v), lm.fit(d.orderBy(F.desc("text")).repartition(40), v)
         for name in ("query", "target", "bias", "normaliser", "codes", "shares", "left"):
             assert np.array_equal(getattr(a, name), getattr(b, name)), name
-        codes, _, left = lm.connections(lm.put_together(lm.train(d, v, lm.start(v)), 1 + v.total // 400).where("kind = 1"), v, 60)
+        codes, _, left = lm.connections(lm.put_together(lm.train(d, v, lm.start(v))[0], 1 + v.total // 400).where("kind = 1"), v, 60)
         pairs = Counter()
         for _, t in rows:
             out = v.outcomes_of([*words(t), b""])
