@@ -44,14 +44,14 @@ LOOKUP, PAIRS, DISCOUNT = 1 << 17, 1 << 21, 0.75
 #: Tokens of the first fit, whose last text is whole, and of a group of the pass over all documents.
 FIRST_TOKENS, GROUP_TOKENS = 400_000, 8_000_000
 #: Tokens of a minibatch and its noise words; AdaGrad: rate, and the sum of squares it starts from.
-BATCH, NOISE, RATE, STATE = 1024, 128, 0.07, 1.0
+BATCH, NOISE, RATE, STATE = 1024, 96, 0.07, 1.0
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 #: Distinct words a task counts before it passes them on.
 COUNTED = 400_000
-#: Parts of the parameters and of the pairs; groups whose results a task puts together.
-BLOCKS, BUCKETS, FAN = 16, 256, 64
-#: Pairs a task holds before it counts them; contexts and outcomes of one matrix product.
-CODES, ROWS, COLUMNS = 1 << 21, 512, 1 << 14
+#: Parts of the parameters and of the pairs; groups whose results a task puts together; tasks that groups are dealt to.
+BLOCKS, BUCKETS, FAN, TASKS = 16, 256, 64, 20_000
+#: Tokens that are scored at once; pairs a task holds before it counts them; contexts and outcomes of one matrix product.
+SCORED, CODES, ROWS, COLUMNS = 1 << 16, 1 << 21, 512, 1 << 14
 #: The end of a text, as a token: no word is empty. It is outcome 0.
 END = b""
 
@@ -336,7 +336,9 @@ def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> tuple[Dat
             yield from group(g, (o for _, o in texts))
 
     rows = training.select(F.xxhash64(F.lit("group"), "doc_id", "text").alias("h"), "text").mapInArrow(encode, "h long, outs binary")
-    rows = rows.withColumn("g", F.pmod("h", F.lit(groups))).repartition("g").sortWithinPartitions("g", "h", "outs")
+    # A task for each group, or for some where there are very many.
+    tasks = min(groups, TASKS)
+    rows = rows.withColumn("g", F.pmod("h", F.lit(groups))).repartitionById(tasks, F.pmod("g", F.lit(tasks)).cast("int")).sortWithinPartitions("g", "h", "outs")
     return rows.select("g", "outs").mapInArrow(run, PASSED), got
 
 
@@ -414,19 +416,20 @@ def normalisers(spark, query: np.ndarray, target: np.ndarray, bias: np.ndarray)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, t, b = got.value
+        one = lambda x: np.ones((len(x), 1), np.float32)
+        # No score exceeds |q| |t| + b; less that bound, but for 60, no sum overflows, and none that counts vanishes.
+        less = np.maximum(0, np.linalg.norm(q, axis=1) * np.linalg.norm(t, axis=1).max() + b.max() - 60)[:, None]
+        # Bias and bound are part of the product.
+        left, right = np.hstack((q, one(q), -less.astype(np.float32))), np.hstack((t, b[:, None], one(t))).T
         for f in frames:
             for k in f["id"].tolist():
-                own = q[k * ROWS : (k + 1) * ROWS]
-                m, z = np.full(len(own), -np.inf, np.float32), np.zeros(len(own))
+                at = slice(k * ROWS, (k + 1) * ROWS)
+                z = np.zeros(len(q[at]))
                 for i in range(0, len(t), COLUMNS):
-                    s = own @ t[i : i + COLUMNS].T
-                    s += b[i : i + COLUMNS]
-                    most = np.maximum(m, s.max(1))
-                    s -= most[:, None]
+                    s = left[at] @ right[:, i : i + COLUMNS]
                     np.exp(s, out=s)
-                    z = z * np.exp(m - most) + s.sum(1)
-                    m = most
-                yield pd.DataFrame({"k": [k], "z": [(m + np.log(z)).tobytes()]})
+                    z += s.sum(1)
+                yield pd.DataFrame({"k": [k], "z": [(np.log(z) + less[at, 0]).tobytes()]})
 
     n = -(-len(query) // ROWS)
     rows = spark.range(0, n, 1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInPandas(run, "k long, z binary").collect()
@@ -514,17 +517,35 @@ def score(docs: DataFrame) -> DataFrame:
         # Of a word without an outcome of its own the counts come later, by a join.
         log_c = np.concatenate((np.log10(look.counts + 1.0), np.zeros(ENDINGS)))
         inside = np.concatenate((np.zeros(look.words), -look.within))
-        for b in frames:
-            rows = []
-            for doc, out_of, text in zip(*(c.to_pylist() for c in b.columns)):
+        def scored(texts: list[tuple]) -> Iterator[tuple]:
+            """The rows of texts (doc_id, held_out, words, outcomes)."""
+            outs = [o for *_, o in texts]
+            out, n = np.concatenate(outs), np.array([len(o) for o in outs])
+            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            # A word without an outcome: its ending, then its share of that ending.
+            lp = np.log10(np.maximum(model.probabilities(np.concatenate([before(o, look.outcomes) for o in outs]), out), 1e-300)) + inside[out]
+            rest = out >= look.words
+            known = n - np.add.reduceat(rest.astype(np.int64), starts) - (look.counts[0] == 0)
+            base = np.add.reduceat(log_c[out], starts) - n * whole
+            cut = np.split(at := np.flatnonzero(rest), np.searchsorted(at, starts[1:]))
+            for (doc, out_of, w, _), s, *own, i in zip(texts, starts.tolist(), n.tolist(), known.tolist(), base.tolist(), np.add.reduceat(lp, starts).tolist(), cut):
+                rare = Counter(w[k] for k in (i - s).tolist())
+                yield doc, out_of, *own, list(rare), list(rare.values())
+
+        def together(rows: Iterator[tuple]) -> Iterator[tuple]:
+            held, n = [], 0
+            for doc, out_of, text in rows:
                 w = [*words(text), END]
-                out = look.outcomes_of(w)
-                rest = out >= look.words
-                # A word without an outcome: its ending, then its share of that ending.
-                lp = np.log10(np.maximum(model.probabilities(before(out, look.outcomes), out), 1e-300)) + inside[out]
-                rare = Counter(w[i] for i in np.flatnonzero(rest).tolist())
-                rows.append((row, doc, out_of, len(w), int((~rest).sum()) - (look.counts[0] == 0), float(log_c[out].sum() - len(w) * whole), float(lp.sum()), list(rare), list(rare.values())))
-                row += 1
+                held.append((doc, out_of, w, look.outcomes_of(w)))
+                if (n := n + len(w)) >= SCORED:
+                    yield from scored(held)
+                    held, n = [], 0
+            if held:
+                yield from scored(held)
+
+        for b in frames:
+            rows = [(row + i, *r) for i, r in enumerate(together(zip(*(c.to_pylist() for c in b.columns))))]
+            row += len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
 
     parts = materialize(d.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, schema), "parts")
