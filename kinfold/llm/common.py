@@ -21,6 +21,9 @@ ROWS_A_FILE = 500_000
 
 _own: dict[str, str] = {}
 
+#: Codec of scratch tables that hold whole texts: several of them lie on the shared disk at one time.
+TEXTS = "zstd"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder all executors share: spark.checkpoint.dir, or in local mode one of our own."""
@@ -50,17 +53,18 @@ def sweep(spark: SparkSession) -> None:
     delete(spark, _home(spark))
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends at files that outlive executors.
 
     rows: about how many are written at most; they go to as few files as ROWS_A_FILE allows, dealt in turn,
     where there would be more otherwise. Many tiny files cost more than the small shuffle.
+    codec: the session's, if None; TEXTS for tables that hold whole texts.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     if rows is not None and (k := 1 + rows // ROWS_A_FILE) < int(spark.conf.get("spark.sql.shuffle.partitions")):
         df = df.repartition(k)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

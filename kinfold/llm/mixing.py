@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import TEXTS, materialize
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix per word of input; most copies' worth of a source.
@@ -90,7 +90,7 @@ def _decided(docs: DataFrame, keep: dict[str, str], weights, share: float, cap:
     """The columns `keep` (name -> column of docs) of every row, with __id, __source, __size, __source_size, __target, __n."""
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     d = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in keep.items()], F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"), size_of(F.col("text")).alias("__size"), _number(text).alias("__h"))
-    d = materialize(d, "sizes")  # words are counted once; what follows reads the numbers
+    d = materialize(d, "sizes", codec=TEXTS)  # words are counted once; what follows reads the numbers
     sources = d.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), F.count("*").alias("rows"))
     total = materialize(sources, "sources", 0)
     total = targets(total.select("source", "source_size"), weights, share, cap).join(total.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -123,7 +123,7 @@ def _decided(docs: DataFrame, keep: dict[str, str], weights, share: float, cap:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = small.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__stratum", "__snake", "__h")
     # The number counts rows within a partition from 0 and holds the partition above bit 33.
-    placed = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "placed")
+    placed = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "placed", codec=TEXTS)
     counts = placed.groupBy("__source", F.shiftright("__at", 33).alias("part")).agg(F.count("*").alias("n"), F.min("__at").alias("first"))
     counts = materialize(counts, "counts", 0)  # at most a row for each partition and each source
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
