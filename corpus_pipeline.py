@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import decontaminate, mixing, simhash, tokenids, toxicity
-from kinfold.llm.common import materialize, table
+from kinfold.llm.common import TEXTS, materialize, table
 from kinfold.llm.queries import TOXIC, tokenizer_path, toxicity_models
 
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id, of any of these or of rows without id."""
     # Rows are told apart by a key that is written once, not by doc_id, which can be null or repeated.
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", codec=TEXTS)
     groups = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
     members = materialize(groups.join(rows.select("__row", "doc_id"), "__row"), "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m"), F.count("*").alias("n")).where("n > 1")
