@@ -24,9 +24,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", codec=TEXTS)
     groups = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
     members = materialize(groups.join(rows.select("__row", "doc_id"), "__row"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    gone = members.join(first.select("component_id", F.col("m.__row").alias("stays")), "component_id").where("__row != stays").select("__row")
-    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+    # The minimum is combined before the shuffle, so a group of any size costs its task a row a partition.
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+    return rows.join(stays, "__row", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
