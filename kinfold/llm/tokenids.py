@@ -19,13 +19,14 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import batches, materialize, scratch
+from .common import BATCH_BYTES, batches, materialize, scratch
 from .wavelet import Shard, encode
 
 END = 0
@@ -33,6 +34,8 @@ _ID = attrgetter("id")
 SHARD = 1 << 21
 #: Pieces that a worker remembers, some 200 bytes each; misses in a row of lookups that make it start afresh.
 REMEMBERED, LOOKUPS = 700_000, 1 << 20
+#: Pieces whose ids are gathered at once.
+GATHERED = 1 << 18
 #: White space other than space and line end, and what some Unicode versions count as such.
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\u180e\u200b\ufeff"
 _ASCII_SPACES = "".join(c for c in _SPACES if c.isascii())
@@ -93,9 +96,9 @@ class Pieces(dict):
 
 
 class Encoder:
-    """encode(text) gives what tokenizer.encode(text, add_special_tokens=False) gives, as an array.
+    """encode_all(texts) gives what tokenizer.encode(text, add_special_tokens=False) gives for each text, as arrays.
 
-    Every new pre-token goes through the library's model once; texts that other rules apply to (added
+    The pieces of all texts are told apart in Arrow first, so each is looked up once a call. Every new pre-token goes through the library's model once; texts that other rules apply to (added
     tokens, other pre-tokenizers) go through the library's encode() as a whole.
     """
 
@@ -110,9 +113,9 @@ class Encoder:
         self.known = Pieces(self.tokenizer.model, self.kind)
         self.lookups = 0
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text cut before its spaces, and before its line ends too where those stand alone (then NEWLINE
-        stands for them); None if it must be encoded as a whole: a space with white space on either side,
+    def _spaced(self, text: str) -> str | None:
+        """The text to be cut before its spaces, and before its line ends too where those stand alone (then a space
+        and NEWLINE stand for them); None if it must be encoded as a whole: a space with white space on either side,
         where the cut depends on more than the neighbours, an added token, or the character that NEWLINE is."""
         if NEWLINE in text or any(m in text for m in self.marks):
             return None
@@ -123,25 +126,68 @@ class Encoder:
             return None
         if breaks and not odd and "\n\n" not in text and " \n" not in text and "\n " not in text:
             text = text.replace("\n", " " + NEWLINE)
-        return text.split(" ")
+        return text
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.kind)
-        pieces = self._pieces(text) if self.by_piece else None
-        if pieces is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        first, *rest = pieces
-        known = self.known
-        head = b"".join(map(known.pre_token, _PRE.findall(first))) if first else b""
-        ids = np.frombuffer(head + b"".join(map(known.__getitem__, rest)), self.kind)
-        self.lookups += len(rest)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, known = [np.empty(0, self.kind)] * len(texts), self.known
+        rests, places = [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            spaced = self._spaced(text) if self.by_piece else None
+            if spaced is None:
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+                continue
+            first, space, rest = spaced.partition(" ")
+            out[i] = np.frombuffer(b"".join(map(known.pre_token, _PRE.findall(first))), self.kind)
+            if space:
+                rests.append(rest)
+                places.append(i)
+        if rests:
+            pieces = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+            distinct = pieces.flatten().dictionary_encode()
+            ids, ends = self._gather(list(map(known.__getitem__, distinct.dictionary.to_pylist())), distinct.indices.to_numpy())
+            at = pieces.offsets.to_numpy().tolist()
+            for i, a, b in zip(places, at, at[1:]):
+                out[i] = np.concatenate((out[i], ids[ends[a] : ends[b]]))
+            self._forget(len(distinct))
+        return out
+
+    def _gather(self, blobs: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces `codes` one after another, and where each piece's begin, and the last one's end."""
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
+        flat, first = np.frombuffer(b"".join(blobs), self.kind), np.cumsum(size) - size
+        ends = np.concatenate(([0], np.cumsum(size[codes])))
+        ids = np.empty(ends[-1], self.kind)
+        for i in range(0, len(codes), GATHERED):
+            c = codes[i : i + GATHERED]
+            a, b = ends[i], ends[i + len(c)]
+            ids[a:b] = flat[np.repeat(first[c] - ends[i : i + len(c)], size[c]) + np.arange(a, b)]
+        return ids, ends
+
+    def _forget(self, looked_up: int) -> None:
+        self.lookups += looked_up
         if self.lookups > LOOKUPS:
-            if 2 * known.misses > self.lookups:  # another kind of text has begun
-                known.clear()
-                known.others.clear()
-            self.lookups = known.misses = 0
-        return ids
+            if 2 * self.known.misses > self.lookups:  # another kind of text has begun
+                self.known.clear()
+                self.known.others.clear()
+            self.lookups = self.known.misses = 0
+
+
+def _joined(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Both columns of the batches, as lists, joined until they hold BATCH_BYTES: the more texts, the fewer lookups."""
+    held, size = [], 0
+    for b in frames:
+        held.append(b)
+        size += b.nbytes
+        if size >= BATCH_BYTES:
+            yield tuple([x for h in held for x in h.column(i).to_pylist()] for i in range(2))
+            held, size = [], 0
+    if held:
+        yield tuple([x for h in held for x in h.column(i).to_pylist()] for i in range(2))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -180,9 +226,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, shard: int = SHARD, end:
             ids, names, lengths, held, place = [], [], [], 0, place + 1
             return pa.RecordBatch.from_pylist([row])
 
-        for b in frames:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = enc.encode(text)
+        for doc_ids, texts in _joined(frames):
+            for doc, got in zip(doc_ids, enc.encode_all(texts)):
                 ids += [got, stop]
                 names.append(doc)
                 lengths.append(len(got) + 1)

@@ -30,12 +30,13 @@ def build(ids: np.ndarray) -> tuple[int, list[int], list[bytes]]:
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     zeros, planes = [], []
     for level in range(bits - 1, -1, -1):
-        one = (ids & ids.dtype.type(1 << level)).astype(bool)
+        one = (ids & ids.dtype.type(1 << level)) != 0
         planes.append(_pack(one))
         zeros.append(len(ids) - int(np.count_nonzero(one)))
         split = np.empty_like(ids)
-        np.compress(~one, ids, out=split[: zeros[-1]])
-        np.compress(one, ids, out=split[zeros[-1] :])
+        # Taking by places is faster than by truth values; "clip" spares the copy that a check of them would make.
+        np.take(ids, np.flatnonzero(~one), out=split[: zeros[-1]], mode="clip")
+        np.take(ids, np.flatnonzero(one), out=split[zeros[-1] :], mode="clip")
         ids = split
     return bits, zeros, planes
 

@@ -208,6 +208,16 @@ class TestTokenIds:
             t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(12)))
             assert enc.encode(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
+    def test_texts_together(self, monkeypatch):
+        monkeypatch.setattr(tokenids, "GATHERED", 7)  # several gathers
+        enc = tokenids.Encoder(queries.tokenizer_path())
+        rng = random.Random(8)
+        alphabet = ["a", "Bc", " ", " ", " ", "\n", "é", "23", ",", "don't", "<|endoftext|>"]
+        texts = [None, "", " ", "a", "a ", " a"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(500)]
+        want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [g.tolist() for g in enc.encode_all(texts)] == want
+        assert enc.encode_all([]) == []
+
     def test_round_trip(self, spark):
         from tokenizers import Tokenizer
 
