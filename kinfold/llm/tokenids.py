@@ -35,7 +35,7 @@ SHARD = 1 << 21
 #: Pieces that a worker remembers, some 200 bytes each; misses in a row of lookups that make it start afresh.
 REMEMBERED, LOOKUPS = 700_000, 1 << 20
 #: Pieces whose ids are gathered at once.
-GATHERED = 1 << 18
+GATHERED = 1 << 16
 #: White space other than space and line end, and what some Unicode versions count as such.
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\u180e\u200b\ufeff"
 _ASCII_SPACES = "".join(c for c in _SPACES if c.isascii())
@@ -179,15 +179,16 @@ class Encoder:
 
 def _joined(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """Both columns of the batches, as lists, joined until they hold BATCH_BYTES: the more texts, the fewer lookups."""
-    held, size = [], 0
+    held, size = ([], []), 0
     for b in frames:
-        held.append(b)
+        for h, column in zip(held, b.columns):
+            h += column.to_pylist()
         size += b.nbytes
         if size >= BATCH_BYTES:
-            yield tuple([x for h in held for x in h.column(i).to_pylist()] for i in range(2))
-            held, size = [], 0
-    if held:
-        yield tuple([x for h in held for x in h.column(i).to_pylist()] for i in range(2))
+            yield held
+            held, size = ([], []), 0
+    if held[0]:
+        yield held
 
 
 _encoders: dict[str, Encoder] = {}
