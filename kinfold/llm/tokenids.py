@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import BATCH_BYTES, batches, materialize, scratch
+from .common import batches, materialize, scratch
 from .wavelet import Shard, encode
 
 END = 0
@@ -177,20 +177,6 @@ class Encoder:
             self.lookups = self.known.misses = 0
 
 
-def _joined(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Both columns of the batches, as lists, joined until they hold BATCH_BYTES: the more texts, the fewer lookups."""
-    held, size = ([], []), 0
-    for b in frames:
-        for h, column in zip(held, b.columns):
-            h += column.to_pylist()
-        size += b.nbytes
-        if size >= BATCH_BYTES:
-            yield held
-            held, size = ([], []), 0
-    if held[0]:
-        yield held
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -227,8 +213,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, shard: int = SHARD, end:
             ids, names, lengths, held, place = [], [], [], 0, place + 1
             return pa.RecordBatch.from_pylist([row])
 
-        for doc_ids, texts in _joined(frames):
-            for doc, got in zip(doc_ids, enc.encode_all(texts)):
+        for b in frames:
+            for doc, got in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
                 ids += [got, stop]
                 names.append(doc)
                 lengths.append(len(got) + 1)
@@ -237,6 +223,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, shard: int = SHARD, end:
                     yield close()
         if names:
             yield close()
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     made = materialize(ordered.mapInArrow(run, "path string, part long, place long, n_tokens long"), "shards")
     # The parts are summed up in order, then the shards of each part: no task sees all shards.
