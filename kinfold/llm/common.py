@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,6 +89,13 @@ def batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system. Workers are used again, and hold the peak of every task otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def words(text: str | None) -> list[bytes]:
     """Maximal runs without ASCII white space, A-Z in lower case, as UTF-8."""
     return text.encode("utf-8", "replace").lower().split() if text else []

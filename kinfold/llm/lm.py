@@ -36,7 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, id_fraction, id_remainder, materialize, words
+from .common import batches, give_back, id_fraction, id_remainder, materialize, words
 
 ENDINGS, DIM = 256, 24
 #: Words whose counts and embeddings are broadcast, pairs with direct connections (some 25 MB), and the discount of these.
@@ -108,6 +108,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                     n.clear()
         if n:
             yield out()
+            n.clear()
+        give_back()
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, c long")
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
@@ -299,6 +301,7 @@ def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> tuple[Dat
         for b in frames:
             outs = [look.outcomes_of([*words(t), END]).astype(np.uint32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(outs, pa.binary())], names=["h", "outs"])
+        give_back()
 
     def group(g: int, texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         look, first = got.value
@@ -308,11 +311,12 @@ def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> tuple[Dat
         held, pairs = [], []
 
         def count():
-            ctx, out = (np.concatenate(x) for x in zip(*held))
+            codes = np.concatenate(held)
             held.clear()
-            met[:] += np.bincount(ctx, minlength=n_out + 1)
-            out_met[:] += np.bincount(out, minlength=n_out)
-            codes, times = _distinct(ctx * n_out + out)
+            codes, times = _distinct(codes)
+            # Sums of whole numbers, exact in doubles.
+            met[:] += np.bincount(codes // n_out, times, n_out + 1).astype(np.int64)
+            out_met[:] += np.bincount(codes % n_out, times, n_out).astype(np.int64)
             bucket = (codes // n_out % BUCKETS).astype(np.min_scalar_type(BUCKETS - 1))
             order = bucket.argsort(kind="stable")
             at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
@@ -322,7 +326,7 @@ def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> tuple[Dat
         def seen() -> Iterator[tuple]:
             for n, b in enumerate(minibatches(texts, n_out), 1):
                 yield b
-                held.append(b)
+                held.append(b[0] * n_out + b[1])
                 if n % (CODES // BATCH) == 0:
                     count()
 
@@ -341,6 +345,7 @@ def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> tuple[Dat
         rows = ((g, np.frombuffer(o, np.uint32).astype(np.int64)) for b in frames for g, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         for g, texts in groupby(rows, key=itemgetter(0)):
             yield from group(g, (o for _, o in texts))
+            give_back()
 
     rows = training.select(F.xxhash64(F.lit("group"), "doc_id", "text").alias("h"), "text").mapInArrow(encode, "h long, outs binary")
     # A task for each group, or for some where there are very many.
@@ -350,8 +355,8 @@ def train(training: DataFrame, v: Lookup, params: list[np.ndarray]) -> tuple[Dat
 
 
 def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order and how often each occurs."""
-    codes = np.sort(codes)
+    """Distinct codes in order and how often each occurs. Sorts codes in place."""
+    codes.sort()
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     return codes[first], np.diff(first, append=len(codes))
 
@@ -408,6 +413,7 @@ def put_together(passed: DataFrame, groups: int) -> DataFrame:
             both = ((n, x) for *_, n, x in own)
             n, x = _sum_pairs(both) if kind else _sum_parameters(both, 1 if part // BLOCKS == 3 else DIM)
             yield _passed([(kind, part, to, n, x)])
+        give_back()
 
     while True:
         to = passed.withColumn("to", F.floor(F.col("g") / FAN)).repartition("kind", "part", "to").sortWithinPartitions("kind", "part", "to", "g")
@@ -437,6 +443,8 @@ def normalisers(spark, query: np.ndarray, target: np.ndarray, bias: np.ndarray)
                     np.exp(s, out=s)
                     z += s.sum(1)
                 yield pd.DataFrame({"k": [k], "z": [(np.log(z) + less[at, 0]).tobytes()]})
+        del left, right
+        give_back()
 
     n = -(-len(query) // ROWS)
     rows = spark.range(0, n, 1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInPandas(run, "k long, z binary").collect()
@@ -554,8 +562,10 @@ def score(docs: DataFrame) -> DataFrame:
             rows = [(row + i, *r) for i, r in enumerate(together(zip(*(c.to_pylist() for c in b.columns))))]
             row += len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     parts = materialize(d.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, schema), "parts")
+    got.destroy()  # executors that are used again need not hold it
     # Rare words: each has a count under `least`, so no key of the join is heavy.
     seen = counts.where(F.col("c") < least)
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("k"))

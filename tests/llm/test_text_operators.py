@@ -563,3 +563,22 @@ class TestLanguageModel:
         monkeypatch.setattr(lm, "FIRST_TOKENS", 400)
         few = lm.first_texts(docs(spark, [(i, f"a b {i}", None, None) for i in range(2000)]), 8000, "lm")
         assert len(few) == 100 and max(int(t.split()[2]) for t in few) > 1500
+
+    def test_memory_is_given_back(self, spark, monkeypatch):
+        """Broadcasts end with their use, and a worker's freed memory goes back to the system."""
+        import os
+
+        import psutil
+
+        from kinfold.llm.common import give_back
+
+        sent, whole = [], type(spark.sparkContext).broadcast
+        monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: sent.append(whole(*a)) or sent[-1])
+        assert lm.score(docs(spark, [(i, t, None, None) for i, t in self.data(spark, 40)])).count() == 40
+        assert len(sent) == 3 and not any(os.path.exists(b._path) for b in sent)
+        # Blocks too small to be mapped one by one; the last keeps the heap's end in its place.
+        held = [b"x" * 50_000 for _ in range(4000)]
+        held = held[-1:]
+        before = psutil.Process().memory_info().rss
+        give_back()
+        assert before - psutil.Process().memory_info().rss > 100e6 and len(held) == 1
