@@ -252,6 +252,18 @@ def test_models_and_scorers(spark, tmp_path):
     assert joined.where("ce_rank is null and ce_n50 = 0").count() == 3 and P.optional(joined) == ["ce_p", "ce_rank", "ce_gap", "ce_n50"]
 
 
+def test_similarities_of_many_pairs():
+    """On arrays as one by one, to the last bit: empty and long texts, shared tokens, any character."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abc1 2é𝒳\0", weights=[5, 5, 3, 3, 4, 2, 1, 1, 1], k=rng.choice([0, 1, 3, 8, 20, 40, 63, 64, 65, 90])))
+    a = [word() for _ in range(600)]
+    b = [rng.choice([word(), x, x[::-1], x[:-1]]) for x in a]
+    for many, one in ((S.ratios, S.ratio), (S.token_sort_ratios, S.token_sort_ratio), (S.token_set_ratios, S.token_set_ratio), (S.partial_ratios, S.partial_ratio)):
+        assert many(a, b).tolist() == [one(x, y) for x, y in zip(a, b)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     f = tmp_path / "train"
     f.mkdir()
